@@ -1,0 +1,38 @@
+"""Attach per-key values to rows when single keys may own a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_HEAVY = 10_000
+
+
+def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[str],
+                  weight: str, max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """Left join ``rows`` with one ``values`` row per key.
+
+    ``weight`` counts the rows of each key.  Keys holding at least 1/``max_heavy`` of all rows
+    number at most ``max_heavy``, so they are broadcast whatever the size of the data.  Their
+    rows go into the shuffle under a salt taken from the input partition instead of the key,
+    so no task receives all rows of a heavy key, also when a later step groups by that key.
+    Rows without a key match nothing and are spread the same way.
+    """
+    total = values.agg(F.sum(weight)).scalar()
+    heavy = values.filter(F.col(weight) * max_heavy >= total).select(
+        F.col(key).alias("_heavy_key"), *[F.col(c).alias(f"_heavy_{c}") for c in columns])
+    light = values.select(
+        F.col(key).alias("_light_key"), *[F.col(c).alias(f"_light_{c}") for c in columns])
+    salted = (
+        rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
+        .withColumn("_join_key", F.when(F.col("_heavy_key").isNull() & F.col(key).isNotNull(),
+                                          F.col(key).cast("string"))
+                    .otherwise(F.concat(F.lit("#"), F.spark_partition_id().cast("string"))))
+    )
+    joined = salted.join(
+        light, F.col("_join_key") == F.col("_light_key").cast("string"), "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        *[F.when(F.col("_heavy_key").isNull(), F.col(f"_light_{c}"))
+          .otherwise(F.col(f"_heavy_{c}")).alias(c) for c in columns],
+    )
