@@ -18,7 +18,7 @@ def _pearson(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def _double(column: str) -> Column:
