@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.names import present, pretty_name, require
 from cohortline.operators.bounded import small
-from cohortline.operators.quantiles import counted_values, quantiles
+from cohortline.operators.quantiles import counted_values, moments, quantiles
 
 
 def melt_backlog(snapshots: DataFrame, columns: list[str], target: str = "resultado_final",
@@ -31,12 +31,14 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFram
     A group with a single value gets a range of one around it.
     """
     require(df, value, group)
-    x = F.col(value).cast("double")
-    known = df.filter(F.col(group).isNotNull() & x.isNotNull()).select(group, x.alias("x"))
-    flat = F.min("x") == F.max("x")
-    limits = small(known.groupBy(group).agg(
-        F.when(flat, F.min("x") - 0.5).otherwise(F.min("x")).alias("low"),
-        F.when(flat, F.max("x") + 0.5).otherwise(F.max("x")).alias("high")))
+    x = F.col("x")
+    counts = counted_values(
+        df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+        .select(group, F.col(value).alias("x")), [group], "x")
+    flat = F.min(x) == F.max(x)
+    limits = small(counts.groupBy(group).agg(
+        F.when(flat, F.min(x) - 0.5).otherwise(F.min(x)).alias("low"),
+        F.when(flat, F.max(x) + 0.5).otherwise(F.max(x)).alias("high")))
     limits = limits.withColumn("width", (F.col("high") - F.col("low")) / bins)
 
     def edge(i):
@@ -49,12 +51,12 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFram
     placed = F.when(F.col("x") < edge(F.col("g")), F.col("g") - 1).when(
         (F.col("x") >= edge(F.col("g") + 1)) & (F.col("g") < bins - 1), F.col("g") + 1
     ).otherwise(F.col("g"))
-    counts = (
-        known.join(limits, group).withColumn("g", guess)
-        .groupBy(group, (placed + 1).alias("bin")).agg(F.count("*").alias("n"))
+    filled = (
+        counts.join(limits, group).withColumn("g", guess)
+        .groupBy(group, (placed + 1).alias("bin")).agg(F.sum("n").alias("n"))
     )
     grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    return grid.join(counts, [group, "bin"], "left").select(
+    return grid.join(filled, [group, "bin"], "left").select(
         group, "bin", edge(F.col("bin") - 1).alias("low"), edge(F.col("bin")).alias("high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -68,15 +70,13 @@ def kde(df: DataFrame, value: str, group: str, cut_width: float = 3.0,
     meets the ``points`` grid points of its own group and is summed there on the map side.
     """
     require(df, value, group)
-    x = F.col(value).cast("double")
-    known = df.filter(F.col(group).isNotNull() & x.isNotNull()).select(group, x.alias("v"))
-    counts = counted_values(known, [group], "v")
-    stats = known.groupBy(group).agg(
-        F.count("*").alias("total"), F.stddev_samp("v").alias("sd"),
-        F.min("v").alias("v_min"), F.max("v").alias("v_max"))
-    bandwidth = F.col("sd") * F.pow(F.col("total"), F.lit(-0.2))
+    counts = counted_values(
+        df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+        .select(group, F.col(value).alias("v")), [group], "v")
+    bandwidth = F.sqrt(F.col("m2") / (F.col("total") - 1)) * F.pow(F.col("total"), F.lit(-0.2))
     frames = small(
-        stats.filter((F.col("total") > 1) & (F.col("v_min") < F.col("v_max")))
+        moments(counts, [group], "v")
+        .filter((F.col("total") > 1) & (F.col("v_min") < F.col("v_max")))
         .withColumn("bandwidth", bandwidth)
         .withColumn("low", F.col("v_min") - cut_width * F.col("bandwidth"))
         .withColumn("step", (F.col("v_max") + cut_width * F.col("bandwidth") - F.col("low"))
@@ -120,7 +120,7 @@ def box_summary(df: DataFrame, value: str, groups: list[str], whisker: float = 1
     keyed = df
     for g in groups:
         keyed = keyed.filter(F.col(g).isNotNull())
-    counts = counted_values(keyed, groups, value)
+    counts = counted_values(keyed.filter(F.col(value).isNotNull()), groups, value)
     boxes = small(quantiles(counts, groups, value, [0.25, 0.5, 0.75]).select(
         *groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
         F.col("q")[2].alias("q3")))

@@ -5,34 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortline.operators.bounded import cut
+
+BROADCAST_ROWS = 200_000
 MAX_HEAVY = 10_000
 
 
 def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[str],
-                  weight: str, max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """Left join ``rows`` with one ``values`` row per key.
-
-    ``weight`` counts the rows of each key.  Keys holding at least 1/``max_heavy`` of all rows
-    number at most ``max_heavy``, so they are broadcast whatever the size of the data.  Their
-    rows go into the shuffle under a salt taken from the input partition instead of the key,
-    so no task receives all rows of a heavy key, also when a later step groups by that key.
-    Rows without a key match nothing and are spread the same way.
+                  weight: str, broadcast_rows: int = BROADCAST_ROWS,
+                  max_heavy: int = MAX_HEAVY) -> DataFrame:
+    """Left join ``rows`` with one ``values`` row per key; ``weight`` counts the rows of a key.
+
+    ``values`` is checkpointed, so its size is known before the join is chosen.  Up to
+    ``broadcast_rows`` keys travel to the rows and nothing else moves.  Beyond that, keys that
+    hold at least 1/``max_heavy`` of all rows are at most ``max_heavy`` whatever the size of the
+    data: these are broadcast, and their rows enter the shuffle under their input partition's
+    number instead of the key.  So no task receives all rows of one key, also when a later step
+    groups by it.  Rows without a key match nothing and are spread the same way.
     """
-    total = values.agg(F.sum(weight)).scalar()
-    heavy = values.filter(F.col(weight) * max_heavy >= total).select(
+    values = cut(values.select(key, *columns, weight))
+    size = values.agg(F.count("*").alias("keys"), F.sum(weight).alias("rows")).first()
+    if size["keys"] <= broadcast_rows:
+        known = values.filter(F.col(key).isNotNull()).select(key, *columns)
+        return rows.join(F.broadcast(known), key, "left").select(*rows.columns, *columns)
+    return _attach_salted(rows, values, key, columns, F.col(weight) * max_heavy >= size["rows"])
+
+
+def _attach_salted(rows, values, key, columns, is_heavy):
+    heavy = values.filter(is_heavy).select(
         F.col(key).alias("_heavy_key"), *[F.col(c).alias(f"_heavy_{c}") for c in columns])
-    light = values.select(
-        F.col(key).alias("_light_key"), *[F.col(c).alias(f"_light_{c}") for c in columns])
+    light = values.filter(~is_heavy).select(
+        F.col(key).cast("string").alias("_light_key"),
+        *[F.col(c).alias(f"_light_{c}") for c in columns])
+    no_match = F.col("_heavy_key").isNull()
     salted = (
         rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
-        .withColumn("_join_key", F.when(F.col("_heavy_key").isNull() & F.col(key).isNotNull(),
-                                          F.col(key).cast("string"))
-                    .otherwise(F.concat(F.lit("#"), F.spark_partition_id().cast("string"))))
+        .withColumn("_partition", F.spark_partition_id().cast("string"))
+        .withColumn("_join_key", F.when(no_match & F.col(key).isNotNull(), F.col(key).cast("string"))
+                    .otherwise(F.concat(F.lit("\0"), F.col("_partition"))))
     )
-    joined = salted.join(
-        light, F.col("_join_key") == F.col("_light_key").cast("string"), "left")
+    joined = salted.join(light, F.col("_join_key") == F.col("_light_key"), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        *[F.when(F.col("_heavy_key").isNull(), F.col(f"_light_{c}"))
-          .otherwise(F.col(f"_heavy_{c}")).alias(c) for c in columns],
+        *[F.when(no_match, F.col(f"_light_{c}")).otherwise(F.col(f"_heavy_{c}")).alias(c)
+          for c in columns],
     )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from cohortline.functions.names import numeric_columns
+from cohortline.operators.bounded import cut, small
 from cohortline.operators.counting import top_values
-from cohortline.operators.quantiles import counted_values, quantiles
+from cohortline.operators.quantiles import counted_values, moments, quantiles
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -64,51 +65,45 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     """One row per numeric column: counts, extremes, moments and exact percentiles.
 
     Skewness and kurtosis carry the usual small-sample correction; the deviation measure is the
-    median absolute deviation.  Everything after the first pass reads counted values.
+    median absolute deviation.  One pass counts the values of all columns; the rest reads those
+    counts.
     """
-    cells = long_numeric(df)
+    counts = counted_values(long_numeric(df), ["column"], "value")
     v = F.col("value")
-    n = F.count("value")
-    moments = cells.groupBy("column").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(v.isNull()).alias("n_missing"),
-        F.count_if(v == 0).alias("n_zeros"),
-        F.count_if(v < 0).alias("n_negative"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.sum(v).alias("sum"),
-        F.when(n > 1, F.var_samp(v)).alias("variance"),
-        F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"), n.alias("n"),
-    )
-    counts = counted_values(cells, ["column"], "value")
-    distinct = counts.groupBy("column").agg(
-        F.count("*").alias("n_distinct"), F.count_if(F.col("n") == 1).alias("n_unique"))
+    cells = counts.groupBy("column").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count(v).alias("n_distinct"),
+        F.count_if(v.isNotNull() & (F.col("n") == 1)).alias("n_unique"),
+        F.coalesce(F.sum(F.when(v == 0, F.col("n"))), F.lit(0)).alias("n_zeros"),
+        F.coalesce(F.sum(F.when(v < 0, F.col("n"))), F.lit(0)).alias("n_negative"))
     q = quantiles(counts, ["column"], "value", list(PERCENTILES))
-    medians = q.select("column", F.col("q")[2].alias("median"))
+    medians = small(q.select("column", F.col("q")[2].alias("median")))
     # folding at the median can only merge values, so these are no more than the counts
-    deviations = (
+    deviations = cut(
         counts.join(medians, "column")
-        .groupBy("column", F.abs(F.col("value") - F.col("median")).alias("deviation"))
+        .groupBy("column", F.abs(v - F.col("median")).alias("deviation"))
         .agg(F.sum("n").alias("n")))
     mad = quantiles(deviations, ["column"], "deviation", [0.5]).select(
         "column", F.col("q")[0].alias("mad"))
-    m = F.col("n").cast("double")
-    skew = F.when((m > 2) & (F.col("variance") > 0),
-                  F.col("g1") * F.sqrt(m * (m - 1)) / F.nullif(m - 2, F.lit(0.0)))
-    kurt = F.when((m > 3) & (F.col("variance") > 0),
-                  ((m + 1) * F.col("g2") + 6) * (m - 1)
+    m = F.col("total").cast("double")
+    spread = F.nullif(F.col("m2"), F.lit(0.0)) / m
+    g1 = F.col("m3") / m / F.pow(spread, F.lit(1.5))
+    g2 = F.col("m4") / m / (spread * spread) - 3
+    skew = F.when(m > 2, g1 * F.sqrt(m * (m - 1)) / F.nullif(m - 2, F.lit(0.0)))
+    kurt = F.when(m > 3, ((m + 1) * g2 + 6) * (m - 1)
                   / F.nullif((m - 2) * (m - 3), F.lit(0.0)))
+    variance = F.when(m > 1, F.col("m2") / F.nullif(m - 1, F.lit(0.0)))
     named = [F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTILES)]
     return (
-        moments.join(distinct, "column", "left").join(q, "column", "left")
-        .join(mad, "column", "left")
+        cells.join(moments(counts, ["column"], "value"), "column", "left")
+        .join(q, "column", "left").join(mad, "column", "left")
         .select(
-            "column", "n_rows", "n_missing",
-            F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
-            F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"),
-            "n_zeros", "n_negative", "min", "max",
-            (F.col("max") - F.col("min")).alias("range"), "mean", "sum",
-            F.sqrt("variance").alias("sd"), "variance",
-            F.try_divide(F.sqrt("variance"), F.col("mean")).alias("cv"),
+            "column", "n_rows", "n_missing", "n_distinct", "n_unique", "n_zeros", "n_negative",
+            F.col("v_min").alias("min"), F.col("v_max").alias("max"),
+            (F.col("v_max") - F.col("v_min")).alias("range"), "mean", F.col("v_sum").alias("sum"),
+            F.sqrt(variance).alias("sd"), variance.alias("variance"),
+            F.try_divide(F.sqrt(variance), F.col("mean")).alias("cv"),
             skew.alias("skewness"), kurt.alias("kurtosis"), *named,
             (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "mad")
     )
@@ -142,7 +137,8 @@ def top_text_values(df: DataFrame, k: int = 10) -> DataFrame:
 
 def extremes(df: DataFrame, k: int = 5) -> DataFrame:
     """The k smallest and k largest distinct values of each numeric column, with counts."""
-    counts = counted_values(long_numeric(df), ["column"], "value")
+    counts = counted_values(
+        long_numeric(df).filter(F.col("value").isNotNull()), ["column"], "value")
     low = top_values(counts, ["column"], k, "value").withColumn("side", F.lit("low"))
     high = top_values(counts, ["column"], k, F.desc("value")).withColumn("side", F.lit("high"))
     return low.unionByName(high).select(

@@ -12,22 +12,40 @@ BINS = 4096
 
 
 def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct non-null values per group with their counts, checkpointed for several passes."""
+    """Distinct values per group with their counts; nulls count as a value.
+
+    Checkpointed, as every user reads it several times.  Equal values combine on the map side.
+    """
     return cut(
         df.select(*groups, F.col(value).cast("double").alias(value))
-        .filter(F.col(value).isNotNull())
         .groupBy(*groups, value).agg(F.count("*").alias("n"))
     )
 
 
+def moments(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Total, extremes, sum, mean and the central sums of powers 2 to 4 of each group."""
+    v, n = F.col(value), F.col("n")
+    known = counts.filter(v.isNotNull())
+    first = small(known.groupBy(*groups).agg(
+        F.sum("n").alias("total"), F.min(v).alias("v_min"), F.max(v).alias("v_max"),
+        F.sum(n * v).alias("v_sum"),
+        (F.sum(n * v) / F.sum("n")).alias("mean")))
+    d = v - F.col("mean")
+    carried = ["total", "v_min", "v_max", "v_sum", "mean"]
+    return known.join(first, groups).groupBy(*groups, *carried).agg(
+        F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"),
+        F.sum(n * d * d * d * d).alias("m4"))
+
+
 def quantiles(counts: DataFrame, groups: list[str], value: str, probabilities: list[float],
               max_distinct: int = MAX_DISTINCT) -> DataFrame:
-    """Linearly interpolated quantiles from counted values, as an array column ``q``.
+    """Linearly interpolated quantiles of the known counted values, as an array column ``q``.
 
     Groups of at most ``max_distinct`` distinct values use Spark's exact percentile, whose
     buffer holds the distinct values of a group.  Larger groups go through ``_by_narrowing``,
     which never gathers a group.
     """
+    counts = counts.filter(F.col(value).isNotNull())
     large = small(
         counts.groupBy(*groups).agg(F.count("*").alias("n_distinct"))
         .filter(F.col("n_distinct") > max_distinct).select(*groups))

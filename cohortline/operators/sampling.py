@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 65_536
+RANKED_ROWS = 100_000
 
 
 def sample_exact(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows without replacement: those whose key has the smallest MD5 under the seed.
 
-    One counting pass over 65,536 hash ranges finds the range the n-th smallest hash lies in.
-    All rows below that range are in the sample; only the rows of that one range are ranked.
+    One counting pass over 65,536 hash ranges finds the range the n-th smallest hash lies in, so
+    only rows up to that range are ranked.  A sample too large for one task to rank takes all
+    rows below that range as they are and ranks the rows of that range only.
     """
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
     keyed = df.withColumn("_draw", F.md5(F.concat_ws("|", F.lit(str(seed)), *text)))
@@ -26,9 +27,11 @@ def sample_exact(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataF
         if below + row["n"] >= n:
             break
         below += row["n"]
-    sure = keyed.filter(slot < edge)
-    ranked = keyed.filter(slot == edge).orderBy("_draw", *key).limit(n - below)
-    return sure.unionByName(ranked).drop("_draw")
+    order = ["_draw", *df.columns]
+    if n <= RANKED_ROWS:
+        return keyed.filter(slot <= edge).orderBy(*order).limit(n).drop("_draw")
+    ranked = keyed.filter(slot == edge).orderBy(*order).limit(n - below)
+    return keyed.filter(slot < edge).unionByName(ranked).drop("_draw")
 
 
 def shape(df: DataFrame) -> tuple[int, int]:

@@ -93,37 +93,46 @@ def _snapshots(history, entity, order, label, threshold, keep_key, categories):
                   else reached_over("last", threshold, whole)),
     })
 
-    n = F.sum("n").over(so_far)
-    squares = (F.sum(F.col("sq_pf") + F.col("n") * F.col("shift") * F.col("shift")).over(so_far)
-               - F.pow(F.sum(F.col("n") * F.col("shift")).over(so_far), 2) / n)
-    any_summer = F.max("any_summer").over(so_far)
-    all_summer = F.min("all_summer").over(so_far)
+    weighted = F.col("n") * F.col("shift")
+    totals = {c: F.sum(c).over(so_far) for c in ("n", "sum_pf", "sum_pa", "n_failed")}
+    totals["sq_pf"] = F.sum(F.col("sq_pf") + weighted * F.col("shift")).over(so_far)
+    totals["offset"] = F.sum(weighted).over(so_far)
+    totals["any_summer"] = F.max("any_summer").over(so_far)
+    totals["all_summer"] = F.min("all_summer").over(so_far)
+    for i in range(len(categories or {})):
+        totals.update({c: F.sum(c).over(so_far) for c in (f"n_{i}", f"sum_{i}", f"failed_{i}")})
+    running = states.withColumns({f"run_{c}": total for c, total in totals.items()})
+
+    def run(name: str) -> Column:
+        return F.col(f"run_{name}")
+
     known = F.col(order).isNotNull()
 
     def known_or(value: Column, zero) -> Column:
         """A state without a semester has an empty history: all zero."""
         return F.coalesce(F.when(known, value), F.lit(zero))
 
+    squares = run("sq_pf") - run("offset") * run("offset") / run("n")
     total = "_totales" if categories is not None else ""
     out = {
         "semestre_actual": F.coalesce(F.col(order), F.lit(0)),
-        "promedio_calificacion_final": known_or(F.sum("sum_pf").over(so_far) / n, 0.0),
-        "promedio_asistencia_final": known_or(F.sum("sum_pa").over(so_far) / n, 0.0),
-        f"materias_cursadas{total}": known_or(n, 0).cast("long"),
-        f"materias_reprobadas{total}": known_or(F.sum("n_failed").over(so_far), 0).cast("long"),
+        "promedio_calificacion_final": known_or(run("sum_pf") / run("n"), 0.0),
+        "promedio_asistencia_final": known_or(run("sum_pa") / run("n"), 0.0),
+        f"materias_cursadas{total}": known_or(run("n"), 0).cast("long"),
+        f"materias_reprobadas{total}": known_or(run("n_failed"), 0).cast("long"),
         # number of distinct answers to "is it a summer period": 1 or 2
-        "periodos_verano_cursados":
-            known_or(F.when(any_summer & ~all_summer, 2).otherwise(1), 0).cast("long"),
-        "std_calificacion_final": known_or(F.sqrt(F.greatest(squares, F.lit(0.0)) / n), 0.0),
+        "periodos_verano_cursados": known_or(
+            F.when(run("any_summer") & ~run("all_summer"), 2).otherwise(1), 0).cast("long"),
+        "std_calificacion_final": known_or(
+            F.sqrt(F.greatest(squares, F.lit(0.0)) / run("n")), 0.0),
         "resultado_final": F.coalesce(F.col("label"), F.lit(0)),
     }
     for i, name in enumerate(categories or {}):
-        mean_so_far = F.try_divide(F.sum(f"sum_{i}").over(so_far), F.sum(f"n_{i}").over(so_far))
+        mean_so_far = F.try_divide(run(f"sum_{i}"), run(f"n_{i}"))
         out[f"promedio_pf_{name}"] = known_or(mean_so_far, 0.0)
-        out[f"materias_reprobadas_{name}"] = known_or(
-            F.sum(f"failed_{i}").over(so_far), 0).cast("long")
+        out[f"materias_reprobadas_{name}"] = known_or(run(f"failed_{i}"), 0).cast("long")
     key = [F.col(entity)] if keep_key else []
-    return states.select(*key, *[c.alias(k) for k, c in out.items()]).withColumn(
+    return running.select(*key, *[c.alias(k) for k, c in out.items()]).withColumn(
         "categoria_asistencia", band(F.col("promedio_asistencia_final")))
 
 

@@ -37,6 +37,17 @@ def read_grade_history(spark: SparkSession, options: dict[str, str],
     return grade_history(table("nes_calificaciones"), table("nes_grupos"))
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table, spread over the cores where its files yield fewer splits than that.
+
+    A row group is the smallest split, so a few big ones would leave most cores idle.  A table of
+    many splits is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV with header; the texts pandas takes as missing are null."""
     df = (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortline.constants import METRICS, PERIODS
 from cohortline.operators.history import grade_history
+from cohortline.sources.tables import read_parquet
 
 METRIC_SQL = {
     "p1": "case when l_tax = 0.01 then -10 else l_quantity / 5 end",
@@ -37,28 +38,31 @@ SEMESTER_SQL = ("(year(o_orderdate) - 1995) * 2 "
                 "+ case when month(o_orderdate) > 6 then 1 else 0 end + 1")
 PERIOD_INDEX_SQL = ("(year(o_orderdate) - 1995) * 3 + case when month(o_orderdate) <= 5 then 0 "
                     "when month(o_orderdate) <= 9 then 1 else 2 end")
-PERIOD_SQL = "case {} {} end".format(
-    PERIOD_INDEX_SQL, " ".join(f"when {i} then {pid}" for i, (pid, _) in enumerate(PERIODS)))
+PERIOD_IDS = ", ".join(str(pid) for pid, _ in PERIODS)
 
 GROUPS_SQL = [
     "o_orderkey as id_grupo",
     "concat('C', cast(o_custkey as string)) as matricula",
     "cast(substr(o_orderpriority, 1, 1) as int) as id_carrera",
     f"cast({SEMESTER_SQL} as int) as semestre",
-    f"cast({PERIOD_SQL} as int) as id_periodo",
 ]
+PERIOD_SQL = f"get(array({PERIOD_IDS}), cast({PERIOD_INDEX_SQL} as int)) as id_periodo"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def large_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_parquet(spark, f"{folder}/{name}.parquet")
+
+
 def grades(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").selectExpr(*GRADES_SQL)
+    return large_table(spark, folder, "lineitem").selectExpr(*GRADES_SQL)
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").selectExpr(*GROUPS_SQL)
+    return table(spark, folder, "orders").selectExpr(*GROUPS_SQL, PERIOD_SQL)
 
 
 def history(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,4 +80,4 @@ def part_subjects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr("doc_id as id_materia", "text as materia")
+    return large_table(spark, folder, "documents").selectExpr("doc_id as id_materia", "text as materia")
