@@ -48,11 +48,11 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFram
         F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins),
         F.lit(bins - 1)).cast("int")
     # the edges decide, as rounding may put a value next to one on the wrong side
-    placed = F.when(F.col("x") < edge(F.col("g")), F.col("g") - 1).when(
-        (F.col("x") >= edge(F.col("g") + 1)) & (F.col("g") < bins - 1), F.col("g") + 1
-    ).otherwise(F.col("g"))
+    placed = F.when(F.col("x") < edge(F.col("_guess")), F.col("_guess") - 1).when(
+        (F.col("x") >= edge(F.col("_guess") + 1)) & (F.col("_guess") < bins - 1), F.col("_guess") + 1
+    ).otherwise(F.col("_guess"))
     filled = (
-        counts.join(limits, group).withColumn("g", guess)
+        counts.join(limits, group).withColumn("_guess", guess)
         .groupBy(group, (placed + 1).alias("bin")).agg(F.sum("n").alias("n"))
     )
     grid = limits.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
