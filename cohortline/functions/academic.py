@@ -9,17 +9,23 @@ from cohortline.constants import ATTENDANCE_BANDS, PERIODS
 from cohortline.functions.text import strip
 
 
-def entity_hash(student: str | Column, program: str | Column) -> Column:
-    """SHA-256 hex of ``<student, stripped>_<program>``; a missing part reads ``nan``."""
-    student = F.col(student) if isinstance(student, str) else student
-    program = F.col(program) if isinstance(program, str) else program
+def entity_text(student: str, program: str) -> Column:
+    """``<student, stripped>_<program>``; a missing part reads ``nan``.
+
+    One to one with the hash and a fraction of its size: jobs group by this text and hash the
+    few rows that come out.
+    """
     nan = F.lit("nan")
-    text = F.concat(
-        F.coalesce(strip(student.cast("string")), nan),
+    return F.concat(
+        F.coalesce(strip(F.col(student).cast("string")), nan),
         F.lit("_"),
-        F.coalesce(program.cast("string"), nan),
+        F.coalesce(F.col(program).cast("string"), nan),
     )
-    return F.sha2(text, 256)
+
+
+def entity_hash(student: str, program: str) -> Column:
+    """SHA-256 hex of the entity text."""
+    return F.sha2(entity_text(student, program), 256)
 
 
 def period_name(period: str, calendar=PERIODS) -> Column:

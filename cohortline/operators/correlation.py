@@ -13,16 +13,20 @@ KEY_COLUMNS = ("id_carrera", "matricula")
 WIDE = 12
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation of two columns where both are present; null if either is constant there."""
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def _pearson(x: str, y: str) -> Column:
+    """Correlation of two SQL expressions where both are known; null if either is constant there."""
+    both = f"({x}) is not null and ({y}) is not null"
+    x, y = f"if({both}, {x}, null)", f"if({both}, {y}, null)"
+    return F.expr(f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))")
+
+
+def _within_one(r: Column) -> Column:
+    """Rounding may lead a hair beyond 1."""
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
-def _double(column: str) -> Column:
-    return F.col(f"`{column}`").cast("double")
+def _double(column: str) -> str:
+    return f"cast(`{column}` as double)"
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -36,27 +40,32 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     if len(columns) <= WIDE:
         one_row = df.agg(*[_pearson(_double(a), _double(b)).alias(f"r{i}")
                            for i, (a, b) in enumerate(pairs)])
-        cells = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)])
-        half = one_row.select(F.explode(cells).alias("c")).select("c.*")
+        half = _stacked(one_row, pairs, ["a", "b", "r"])
     else:
-        names = F.array(*[F.lit(c) for c in columns])
-        index = F.array(*[
-            F.struct(F.lit(columns.index(a)).alias("i"), F.lit(columns.index(b)).alias("j"))
-            for a, b in pairs])
+        names = F.lit(columns)
+        index = ", ".join(
+            f"named_struct('i', {columns.index(a)}, 'j', {columns.index(b)})" for a, b in pairs)
         half = (
-            df.select(F.array(*[_double(c) for c in columns]).alias("v"))
-            .select("v", F.explode(index).alias("p"))
-            .select("p.i", "p.j", F.expr("v[p.i]").alias("x"), F.expr("v[p.j]").alias("y"))
-            .groupBy("i", "j").agg(_pearson(F.col("x"), F.col("y")).alias("r"))
+            df.selectExpr(f"array({', '.join(map(_double, columns))}) as v")
+            .selectExpr("v", f"explode(array({index})) as p")
+            .selectExpr("p.i", "p.j", "v[p.i] as x", "v[p.j] as y")
+            .groupBy("i", "j").agg(_pearson("x", "y").alias("r"))
             .select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
         )
     both_ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select(F.explode(both_ways).alias("p"), "r").select(
         F.col("p.a").alias("variable_1"), F.col("p.b").alias("variable_2"),
-        F.col("r").alias("correlation"))
+        _within_one(F.col("r")).alias("correlation"))
+
+
+def _stacked(one_row: DataFrame, labels: list[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """The columns r0, r1, ... of a single row as rows behind their labels."""
+    cells = F.array(*[
+        F.struct(*[F.lit(text).alias(name) for text, name in zip(label, names)],
+                 F.col(f"r{i}").alias(names[-1]))
+        for i, label in enumerate(labels)])
+    return one_row.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def matrix_wide(long: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,11 +86,10 @@ def target_correlation(df: DataFrame, target: str = "resultado_final",
     labels = labels or {}
     one_row = df.agg(*[_pearson(_double(c), _double(target)).alias(f"r{i}")
                        for i, c in enumerate(columns)])
-    cells = F.array(*[
-        F.struct(F.lit(labels.get(c, c)).alias("variable"), F.col(f"r{i}").alias("correlation"))
-        for i, c in enumerate(columns)])
+    shown = [(labels.get(c, c),) for c in columns]
     return (
-        one_row.select(F.explode(cells).alias("c")).select("c.*")
+        _stacked(one_row, shown, ["variable", "correlation"])
+        .withColumn("correlation", _within_one(F.col("correlation")))
         .orderBy(F.col("correlation").asc_nulls_last(), "variable")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.names import present, pretty_name, require
 from cohortline.operators.bounded import small
-from cohortline.operators.quantiles import counted_values, moments, quantiles
+from cohortline.operators.quantiles import counted_values, large_groups, moments, quantiles
 
 
 def melt_backlog(snapshots: DataFrame, columns: list[str], target: str = "resultado_final",
@@ -121,7 +121,8 @@ def box_summary(df: DataFrame, value: str, groups: list[str], whisker: float = 1
     for g in groups:
         keyed = keyed.filter(F.col(g).isNotNull())
     counts = counted_values(keyed.filter(F.col(value).isNotNull()), groups, value)
-    boxes = small(quantiles(counts, groups, value, [0.25, 0.5, 0.75]).select(
+    large = large_groups(counts, groups, value)
+    boxes = small(quantiles(counts, groups, value, [0.25, 0.5, 0.75], large).select(
         *groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
         F.col("q")[2].alias("q3")))
     reach = whisker * (F.col("q3") - F.col("q1"))

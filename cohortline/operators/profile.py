@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 from cohortline.functions.names import numeric_columns
 from cohortline.operators.bounded import cut, small
 from cohortline.operators.counting import top_values
-from cohortline.operators.quantiles import counted_values, moments, quantiles
+from cohortline.operators.quantiles import counted_values, large_groups, moments, quantiles
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -77,15 +77,16 @@ def numeric_summary(df: DataFrame) -> DataFrame:
         F.count_if(v.isNotNull() & (F.col("n") == 1)).alias("n_unique"),
         F.coalesce(F.sum(F.when(v == 0, F.col("n"))), F.lit(0)).alias("n_zeros"),
         F.coalesce(F.sum(F.when(v < 0, F.col("n"))), F.lit(0)).alias("n_negative"))
-    q = quantiles(counts, ["column"], "value", list(PERCENTILES))
-    medians = small(q.select("column", F.col("q")[2].alias("median")))
-    # folding at the median can only merge values, so these are no more than the counts
-    deviations = cut(
-        counts.join(medians, "column")
+    large = large_groups(counts, ["column"], "value")
+    q = small(quantiles(counts, ["column"], "value", list(PERCENTILES), large))
+    deviations = (
+        counts.join(q.select("column", F.col("q")[2].alias("median")), "column")
         .groupBy("column", F.abs(v - F.col("median")).alias("deviation"))
         .agg(F.sum("n").alias("n")))
-    mad = quantiles(deviations, ["column"], "deviation", [0.5]).select(
-        "column", F.col("q")[0].alias("mad"))
+    # folding at the median can only merge values, so no further column is large
+    mad = quantiles(
+        deviations if large is None else cut(deviations), ["column"], "deviation", [0.5], large
+    ).select("column", F.col("q")[0].alias("mad"))
     m = F.col("total").cast("double")
     spread = F.nullif(F.col("m2"), F.lit(0.0)) / m
     g1 = F.col("m3") / m / F.pow(spread, F.lit(1.5))

@@ -37,25 +37,31 @@ def moments(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
         F.sum(n * d * d * d * d).alias("m4"))
 
 
+def large_groups(counts: DataFrame, groups: list[str], value: str,
+                 max_distinct: int = MAX_DISTINCT) -> DataFrame | None:
+    """Groups with more than ``max_distinct`` distinct known values, or None if there are none."""
+    large = small(
+        counts.filter(F.col(value).isNotNull())
+        .groupBy(*groups).agg(F.count("*").alias("n_distinct"))
+        .filter(F.col("n_distinct") > max_distinct).select(*groups))
+    return None if large.isEmpty() else large
+
+
 def quantiles(counts: DataFrame, groups: list[str], value: str, probabilities: list[float],
-              max_distinct: int = MAX_DISTINCT) -> DataFrame:
+              large: DataFrame | None) -> DataFrame:
     """Linearly interpolated quantiles of the known counted values, as an array column ``q``.
 
-    Groups of at most ``max_distinct`` distinct values use Spark's exact percentile, whose
-    buffer holds the distinct values of a group.  Larger groups go through ``_by_narrowing``,
-    which never gathers a group.
+    Groups outside ``large`` use Spark's exact percentile, whose buffer holds the distinct values
+    of a group.  Those inside go through ``_by_narrowing``, which never gathers a group and reads
+    ``counts`` several times.
     """
     counts = counts.filter(F.col(value).isNotNull())
-    large = small(
-        counts.groupBy(*groups).agg(F.count("*").alias("n_distinct"))
-        .filter(F.col("n_distinct") > max_distinct).select(*groups))
-    any_large = not large.isEmpty()
-    light = _without(counts, large, groups) if any_large else counts
-    p = F.array(*[F.lit(x) for x in probabilities])
+    light = counts if large is None else _match(counts, large, groups, "left_anti")
+    p = F.lit([float(x) for x in probabilities])
     result = light.groupBy(*groups).agg(F.percentile(value, p, F.col("n")).alias("q"))
-    if not any_large:
+    if large is None:
         return result
-    heavy = _by_narrowing(_within(counts, large, groups), groups, value, probabilities)
+    heavy = _by_narrowing(_match(counts, large, groups, "left_semi"), groups, value, probabilities)
     return result.unionByName(heavy)
 
 
@@ -67,14 +73,6 @@ def _match(left: DataFrame, right: DataFrame, groups: list[str], how: str) -> Da
     return left.join(renamed, condition, how)
 
 
-def _without(counts, large, groups):
-    return _match(counts, large, groups, "left_anti")
-
-
-def _within(counts, large, groups):
-    return _match(counts, large, groups, "left_semi")
-
-
 def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
                   probabilities: list[float]) -> DataFrame:
     """Find the values at the wanted ranks by counting values in ever narrower ranges.

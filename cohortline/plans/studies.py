@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cohortline.functions import academic
 from cohortline.functions.names import numeric_columns
 from cohortline.operators import (
     correlation, counting, distribution, history, inference, profile, sampling, snapshots, taxonomy,
@@ -20,6 +22,35 @@ def labelled_history(raw: DataFrame) -> DataFrame:
     return enriched_history(raw).transform(history.label_rows)
 
 
+def by_text_key(raw: DataFrame, job, key: str = "alumno_carrera_hash") -> DataFrame:
+    """Run a job that groups by the entity on the short text key, then hash the key it returns.
+
+    Rows shuffle a key of some ten bytes instead of 64, and only result rows are hashed.
+    """
+    rows = enriched_history(raw).withColumn(key, academic.entity_text("matricula", "id_carrera"))
+    return job(rows).withColumn(key, F.sha2(key, 256))
+
+
+def progress(raw: DataFrame) -> DataFrame:
+    """Progress snapshots from raw grade rows."""
+    return by_text_key(raw, snapshots.progress_snapshots)
+
+
+def granular(raw: DataFrame, dictionary: DataFrame | None,
+             categories: list[str] | None = None) -> DataFrame:
+    """Granular snapshots from raw grade rows and a subject dictionary."""
+    def job(rows):
+        merged = history.attach_category(rows, dictionary)
+        return snapshots.granular_snapshots(merged, categories)
+
+    return by_text_key(raw, job)
+
+
+def profiles(raw: DataFrame) -> DataFrame:
+    """Student profiles from raw grade rows."""
+    return by_text_key(raw, inference.student_profiles)
+
+
 def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
     """All profile tables of one frame.  Pass a checkpointed or stored frame: each scans it."""
     return {
@@ -51,18 +82,18 @@ def profile_study(raw: DataFrame, folder: str, sample_size: int = 20_000,
 
 def snapshot_study(raw: DataFrame) -> dict[str, DataFrame]:
     """Descriptive and inferential tables over grade rows and cumulative snapshots."""
-    enriched = cut(enriched_history(raw))
-    states = cut(snapshots.progress_snapshots(enriched))
-    profiles = cut(inference.student_profiles(enriched))
+    enriched = enriched_history(raw)
+    states = cut(progress(raw))
+    students = cut(profiles(raw))
     return {
         "label_counts": counting.value_counts(history.label_rows(enriched), "resultado_final"),
         "grade_histogram": distribution.histogram(enriched, "pf", "id_carrera"),
         "grade_kde": distribution.grade_kde(enriched),
-        "student_profiles": profiles,
+        "student_profiles": students,
         "trend": inference.linear_trend(
-            profiles, "id_carrera", "promedio_asistencia", "promedio_calificacion"),
+            students, "id_carrera", "promedio_asistencia", "promedio_calificacion"),
         "trend_band": inference.trend_band(
-            profiles, "id_carrera", "alumno_carrera_hash",
+            students, "id_carrera", "alumno_carrera_hash",
             "promedio_asistencia", "promedio_calificacion"),
         "snapshots": states,
         "correlation_matrix": correlation.correlation_matrix(states),
@@ -83,8 +114,7 @@ def snapshot_study(raw: DataFrame) -> dict[str, DataFrame]:
 def category_study(raw: DataFrame, dictionary: DataFrame | None, critical: str,
                    backlog: list[str], categories: list[str] | None = None) -> dict[str, DataFrame]:
     """Per-category snapshots with their predictive power, one density pair and backlog boxes."""
-    categorised = history.attach_category(enriched_history(raw), dictionary)
-    states = cut(snapshots.granular_snapshots(categorised, categories))
+    states = cut(granular(raw, dictionary, categories))
     return {
         "snapshots": states,
         "predictive_power": correlation.category_predictive_power(states),

@@ -37,15 +37,19 @@ def read_grade_history(spark: SparkSession, options: dict[str, str],
     return grade_history(table("nes_calificaciones"), table("nes_grupos"))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table, spread over the cores where its files yield fewer splits than that.
+def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None,
+                 spread_by: str | None = None) -> DataFrame:
+    """Parquet table; with ``spread_by`` it is spread over the cores if it has too few splits.
 
-    A row group is the smallest split, so a few big ones would leave most cores idle.  A table of
-    many splits is read as it is.
+    A row group is the smallest split, so a few big ones would leave most cores idle.  A table
+    with at least as many splits as cores is read as it is.
     """
-    df = spark.read.parquet(path)
+    reader = spark.read.schema(schema) if schema else spark.read
+    df = reader.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, spread_by)
+    return df
 
 
 def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.tails import _make_chi2_tail, _make_f_tail
 from cohortline.operators import correlation, distribution, inference
-from cohortline.operators.quantiles import counted_values, quantiles
+from cohortline.operators.quantiles import counted_values, large_groups, quantiles
 
 
 def test_constant_column_has_no_correlation(spark):
@@ -153,7 +153,7 @@ def test_band_covers_the_trend(spark):
 def test_quartiles(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 10.0)], "g string, v double")
     counts = counted_values(df, ["g"], "v")
-    assert quantiles(counts, ["g"], "v", [0.25, 0.5, 0.75]).first()["q"] == [1.75, 2.5, 4.75]
+    assert quantiles(counts, ["g"], "v", [0.25, 0.5, 0.75], None).first()["q"] == [1.75, 2.5, 4.75]
 
 
 @pytest.mark.parametrize("kind", ["uniform", "outliers", "copies"])
@@ -170,8 +170,9 @@ def test_large_groups_are_narrowed_exactly(spark, kind):
     df = spark.createDataFrame(rows, "g string, v double")
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
     counts = counted_values(df, ["g"], "v")
-    got = {r["g"]: r["q"] for r in
-           quantiles(counts, ["g"], "v", probabilities, max_distinct=50).collect()}
+    large = large_groups(counts, ["g"], "v", max_distinct=50)
+    assert [r["g"] for r in large.collect()] == ["big"]
+    got = {r["g"]: r["q"] for r in quantiles(counts, ["g"], "v", probabilities, large).collect()}
     assert got["big"] == pytest.approx(np.quantile([v for _, v in big], probabilities), rel=1e-12)
     assert got["small"] == pytest.approx(np.quantile(range(7), probabilities))
     assert got[None] == [3.0] * 7

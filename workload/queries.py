@@ -14,7 +14,7 @@ from cohortline.operators import (
     correlation, counting, distribution, history, inference, profile, sampling, snapshots, taxonomy,
 )
 from cohortline.operators.bounded import cut, shared_folder
-from cohortline.plans.studies import enriched_history, labelled_history
+from cohortline.plans import studies
 from cohortline.sources import tables
 from workload import views
 
@@ -55,24 +55,24 @@ def rounded(df: DataFrame, significant: tuple[str, ...] = ()) -> DataFrame:
 
 
 def enriched(spark, folder):
-    return enriched_history(views.history(spark, folder))
+    return studies.enriched_history(views.history(spark, folder))
 
 
 def labelled(spark, folder):
-    return labelled_history(views.history(spark, folder))
+    return studies.labelled_history(views.history(spark, folder))
 
 
 def progress(spark, folder):
-    return snapshots.progress_snapshots(enriched(spark, folder))
+    return studies.progress(views.history(spark, folder))
 
 
 def granular(spark, folder):
-    merged = history.attach_category(enriched(spark, folder), views.part_types(spark, folder))
-    return snapshots.granular_snapshots(merged, PART_TYPES)
+    return studies.granular(
+        views.history(spark, folder), views.part_types(spark, folder), PART_TYPES)
 
 
 def profiles(spark, folder):
-    return inference.student_profiles(enriched(spark, folder))
+    return studies.profiles(views.history(spark, folder))
 
 
 # --- history ---

@@ -49,16 +49,24 @@ GROUPS_SQL = [
 PERIOD_SQL = f"get(array({PERIOD_IDS}), cast({PERIOD_INDEX_SQL} as int)) as id_periodo"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 
 
-def large_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+    return read_parquet(spark, f"{folder}/{name}.parquet", SCHEMAS[name], spread_by)
 
 
 def grades(spark: SparkSession, folder: str) -> DataFrame:
-    return large_table(spark, folder, "lineitem").selectExpr(*GRADES_SQL)
+    return table(spark, folder, "lineitem", "l_orderkey").selectExpr(*GRADES_SQL)
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,4 +88,4 @@ def part_subjects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    return large_table(spark, folder, "documents").selectExpr("doc_id as id_materia", "text as materia")
+    return table(spark, folder, "documents", "doc_id").selectExpr("doc_id as id_materia", "text as materia")
