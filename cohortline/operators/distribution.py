@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.names import present, pretty_name, require
-from cohortline.operators.bounded import small
+from cohortline.operators.bounded import small, spread
 from cohortline.operators.quantiles import counted_values, large_groups, moments, quantiles
 
 
@@ -85,7 +85,7 @@ def kde(df: DataFrame, value: str, group: str, cut_width: float = 3.0,
     at = F.col("low") + F.col("point") * F.col("step")
     z = (at - F.col("v")) / F.col("bandwidth")
     sums = (
-        counts.join(frames.select(group, "bandwidth", "low", "step"), group)
+        spread(counts, group, "v").join(frames.select(group, "bandwidth", "low", "step"), group)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(group, "point").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("mass"))
     )

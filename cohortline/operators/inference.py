@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.names import require
 from cohortline.functions.tails import chi2_tail, f_tail
-from cohortline.operators.bounded import small
+from cohortline.operators.bounded import cut, small, spread
 from cohortline.operators.counting import contingency
 
 SIGNIFICANCE = 0.05
@@ -182,7 +182,9 @@ def trend_band(df: DataFrame, group: str, entity: str, x: str, y: str,
     hash of the replicate number, so a lost task redraws the same weights.  Each task folds its
     rows into one set of weighted moments per (group, replicate) before the shuffle.
     """
-    both = df.filter(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = cut(
+        df.select(group, entity, x, y)
+        .filter(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()))
     limits = small(both.groupBy(group).agg(
         F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mid"),
         F.avg(y).alias("y_mid")))
@@ -192,7 +194,7 @@ def trend_band(df: DataFrame, group: str, entity: str, x: str, y: str,
         return F.pmod(F.conv(F.substring(digest, start, 14), 16, 10).cast("long"), F.lit(PRIME))
 
     draws = (
-        both.join(limits, group)
+        spread(both, entity).join(limits, group)
         .select(group, (F.col(x) - F.col("x_mid")).alias("dx"),
                 (F.col(y) - F.col("y_mid")).alias("dy"),
                 part(1).alias("a"), part(15).alias("b"))

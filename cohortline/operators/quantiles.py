@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.bounded import cut, small
 
-MAX_DISTINCT = 100_000
+# distinct values one percentile buffer may hold, about 100 bytes each
+MAX_DISTINCT = 500_000
 BINS = 4096
 
 

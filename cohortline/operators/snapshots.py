@@ -132,8 +132,8 @@ def _snapshots(history, entity, order, label, threshold, keep_key, categories):
         out[f"promedio_pf_{name}"] = known_or(mean_so_far, 0.0)
         out[f"materias_reprobadas_{name}"] = known_or(run(f"failed_{i}"), 0).cast("long")
     key = [F.col(entity)] if keep_key else []
-    return running.select(*key, *[c.alias(k) for k, c in out.items()]).withColumn(
-        "categoria_asistencia", band(F.col("promedio_asistencia_final")))
+    out["categoria_asistencia"] = band(out["promedio_asistencia_final"])
+    return running.select(*key, *[c.alias(k) for k, c in out.items()])
 
 
 def reached_over(order: str, threshold: int, window) -> Column:
