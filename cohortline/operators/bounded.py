@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
 
@@ -33,13 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """The same rows as a local relation if there are at most ``max_rows``, else checkpointed.
 
-    Catalyst knows the size of a local relation and broadcasts it by that size.  Beyond the
-    bound the rows stay distributed and joins fall back to shuffles that AQE can split.
+    The local relation carries a broadcast hint, as its size is proven.  Beyond the bound the
+    rows stay distributed and joins fall back to shuffles that AQE can split.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
         return cut(df)
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -42,16 +42,21 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
                            for i, (a, b) in enumerate(pairs)])
         half = _stacked(one_row, pairs, ["a", "b", "r"])
     else:
-        names = F.lit(columns)
         index = ", ".join(
             f"named_struct('i', {columns.index(a)}, 'j', {columns.index(b)})" for a, b in pairs)
-        half = (
+        known = (
             df.selectExpr(f"array({', '.join(map(_double, columns))}) as v")
             .selectExpr("v", f"explode(array({index})) as p")
             .selectExpr("p.i", "p.j", "v[p.i] as x", "v[p.j] as y")
-            .groupBy("i", "j").agg(_pearson("x", "y").alias("r"))
-            .select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r")
+            .filter("x is not null and y is not null")
+            .groupBy("i", "j")
+            .agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("r"))
         )
+        # pairs without a common row come back as undefined
+        every = df.sparkSession.createDataFrame(
+            [(columns.index(a), columns.index(b), a, b) for a, b in pairs],
+            "i int, j int, a string, b string")
+        half = every.join(known, ["i", "j"], "left").select("a", "b", "r")
     both_ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return half.select(F.explode(both_ways).alias("p"), "r").select(

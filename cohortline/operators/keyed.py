@@ -9,6 +9,7 @@ from cohortline.operators.bounded import cut
 
 BROADCAST_ROWS = 200_000
 MAX_HEAVY = 10_000
+SALTS = 1024
 
 
 def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[str],
@@ -19,9 +20,12 @@ def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[st
     ``values`` is checkpointed, so its size is known before the join is chosen.  Up to
     ``broadcast_rows`` keys travel to the rows and nothing else moves.  Beyond that, keys that
     hold at least 1/``max_heavy`` of all rows are at most ``max_heavy`` whatever the size of the
-    data: these are broadcast, and their rows enter the shuffle under their input partition's
-    number instead of the key.  So no task receives all rows of one key, also when a later step
-    groups by it.  Rows without a key match nothing and are spread the same way.
+    data: these are broadcast, and their rows enter the shuffle under a salt instead of the key.
+    So no task receives all rows of one key, also when a later step groups by it.  Rows without
+    a key match nothing and are spread the same way.
+
+    The salt is the input partition with a hash of the row: both are the same when a lost task
+    runs again, whatever order its rows arrive in.
     """
     values = cut(values.select(key, *columns, weight))
     size = values.agg(F.count("*").alias("keys"), F.sum(weight).alias("rows")).first()
@@ -38,11 +42,12 @@ def _attach_salted(rows, values, key, columns, is_heavy):
         F.col(key).cast("string").alias("_light_key"),
         *[F.col(c).alias(f"_light_{c}") for c in columns])
     no_match = F.col("_heavy_key").isNull()
+    row_hash = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("string")
     salted = (
         rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
         .withColumn("_partition", F.spark_partition_id().cast("string"))
         .withColumn("_join_key", F.when(no_match & F.col(key).isNotNull(), F.col(key).cast("string"))
-                    .otherwise(F.concat(F.lit("\0"), F.col("_partition"))))
+                    .otherwise(F.concat(F.lit("\0"), F.col("_partition"), F.lit("/"), row_hash)))
     )
     joined = salted.join(light, F.col("_join_key") == F.col("_light_key"), "left")
     return joined.select(

@@ -86,8 +86,9 @@ def test_attach_by_key_with_a_hot_key(spark, broadcast_rows):
 
 
 def test_hot_rows_do_not_meet_in_one_task(spark):
+    # also when they sit in one input partition
     df = spark.range(8000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.col("id").cast("string")).alias("k"), "id").repartition(8)
+        F.col("id").cast("string")).alias("k"), "id").repartition(8, "k")
     per_key = df.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n"))
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -103,7 +104,7 @@ def test_hot_rows_do_not_meet_in_one_task(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-    assert sum(sizes) == 2667 and max(sizes) < 2667 * 0.7 and len(sizes) > 2
+    assert sum(sizes) == 2667 and max(sizes) < 2667 * 0.3 and len(sizes) == 8
 
 
 def test_small_hands_over_either_way(spark):
