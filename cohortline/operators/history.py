@@ -76,7 +76,8 @@ def label_rows(history: DataFrame, entity: str = "alumno_carrera_hash",
     entity: one entity may own a large share of all rows.
     """
     labels = entity_labels(history, entity, order, threshold, label)
-    rows = attach_by_key(history, labels, entity, [label], weight="n_rows")
+    salt_by = present(history, ["id_grupo", "id_materia"]) or [order]
+    rows = attach_by_key(history, labels, entity, [label], weight="n_rows", salt_by=salt_by)
     return rows.withColumn(label, F.coalesce(label, F.lit(0)))
 
 

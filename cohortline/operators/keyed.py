@@ -13,7 +13,7 @@ SALTS = 1024
 
 
 def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[str],
-                  weight: str, broadcast_rows: int = BROADCAST_ROWS,
+                  weight: str, salt_by: list[str], broadcast_rows: int = BROADCAST_ROWS,
                   max_heavy: int = MAX_HEAVY) -> DataFrame:
     """Left join ``rows`` with one ``values`` row per key; ``weight`` counts the rows of a key.
 
@@ -24,25 +24,26 @@ def attach_by_key(rows: DataFrame, values: DataFrame, key: str, columns: list[st
     So no task receives all rows of one key, also when a later step groups by it.  Rows without
     a key match nothing and are spread the same way.
 
-    The salt is the input partition with a hash of the row: both are the same when a lost task
-    runs again, whatever order its rows arrive in.
+    The salt is the input partition with a hash of the ``salt_by`` columns: both are the same
+    when a lost task runs again, whatever order its rows arrive in.
     """
     values = cut(values.select(key, *columns, weight))
     size = values.agg(F.count("*").alias("keys"), F.sum(weight).alias("rows")).first()
     if size["keys"] <= broadcast_rows:
         known = values.filter(F.col(key).isNotNull()).select(key, *columns)
         return rows.join(F.broadcast(known), key, "left").select(*rows.columns, *columns)
-    return _attach_salted(rows, values, key, columns, F.col(weight) * max_heavy >= size["rows"])
+    is_heavy = F.col(weight) * max_heavy >= size["rows"]
+    return _attach_salted(rows, values, key, columns, salt_by, is_heavy)
 
 
-def _attach_salted(rows, values, key, columns, is_heavy):
+def _attach_salted(rows, values, key, columns, salt_by, is_heavy):
     heavy = values.filter(is_heavy).select(
         F.col(key).alias("_heavy_key"), *[F.col(c).alias(f"_heavy_{c}") for c in columns])
     light = values.filter(~is_heavy).select(
         F.col(key).cast("string").alias("_light_key"),
         *[F.col(c).alias(f"_light_{c}") for c in columns])
     no_match = F.col("_heavy_key").isNull()
-    row_hash = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("string")
+    row_hash = F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("string")
     salted = (
         rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy_key"), "left")
         .withColumn("_partition", F.spark_partition_id().cast("string"))

@@ -78,7 +78,7 @@ def test_attach_by_key_with_a_hot_key(spark, broadcast_rows):
     data = [("hot", i) for i in range(3000)] + [(f"k{i % 300}", i) for i in range(5000)] + [(None, i) for i in range(1000)]
     df = spark.createDataFrame(data, "k string, i int").repartition(8)
     per_key = df.groupBy("k").agg(F.max("i").alias("top"), F.count("*").alias("n"))
-    out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", broadcast_rows, max_heavy=20)
+    out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", ["i"], broadcast_rows, max_heavy=20)
     assert out.columns == ["k", "i", "top"] and out.count() == len(data)
     got = {(r["k"], r["top"]) for r in out.select("k", "top").distinct().collect()}
     want = {r["k"]: r["top"] for r in per_key.collect() if r["k"] is not None}
@@ -97,7 +97,7 @@ def test_hot_rows_do_not_meet_in_one_task(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
-        out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", 0, max_heavy=10)
+        out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", ["id"], 0, max_heavy=10)
         sizes = [r["n"] for r in out.filter("k = 'hot'").groupBy(
             F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     finally:
