@@ -1,80 +1,137 @@
 """Token ids of texts by a tokenizer library, chunk by chunk, each distinct chunk encoded once.
 
 A chunk is a stretch of text that the tokenizer cannot join with its neighbours, so the ids of a text
-are those of its chunks in order. Where chunks may be cut depends on the tokenizer; see `cut_spaces`
-and `cut_words`.
+are those of its chunks in order. Where chunks may be cut depends on the tokenizer; the two kinds
+below are for BPE tokenizers whose words are runs of letters, of digits, or of other characters.
 """
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 
 import numpy as np
 
 from . import rolling
 
 #: Distinct chunks kept per worker; beyond that the memory starts anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 1_500_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
 # bytes after a space that may open white space of another kind: no cut there
 _OPEN = np.zeros(256, bool)
 _OPEN[:33] = True
 _OPEN[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+# marks that follow words; not those of contractions or of special tokens
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?#%&*$")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _marks_after_letters(data: np.ndarray) -> np.ndarray:
+    """Places of marks right after a letter of ASCII or of Latin-1 (C3 and a byte that is no sign)."""
+    if len(data) < 2:
+        return np.zeros(len(data), bool)
+    out = np.zeros(len(data), bool)
+    letter = _LETTER[data[:-1]]
+    letter[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+    out[1:] = _MARK[data[1:]] & letter
+    return out
 
 
 def cut_spaces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks that open with the last space before a word, for byte-level tokenizers that keep white
-    space: a space goes with the word after it, whatever stands before."""
-    opens = np.zeros(len(data) + 1, bool)
-    opens[:-2] = (data[:-1] == 32) & ~_OPEN[data[1:]] if len(data) else False
-    some = np.flatnonzero(np.diff(bounds) > 0)
-    opens[bounds[:-1][some]] = True
-    opens[bounds[1:][some] - 1] &= np.isin(bounds[1:][some] - 1, bounds[:-1][some])
-    starts = np.flatnonzero(opens[:-1])
-    ends = np.append(starts[1:], len(data))[: len(starts)]
-    return starts, ends, np.searchsorted(starts, bounds)
+    """(starts, ends, chunks before each document) for tokenizers that keep white space: a chunk opens
+    with the last space before a word, whatever stands before it, or with the marks after a word."""
+    opens = _marks_after_letters(data)
+    if len(data):
+        opens[:-1] |= (data[:-1] == 32) & ~_OPEN[data[1:]]
+    # a document's last space has no word of its own after it
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    opens[last] &= data[last] != 32
+    opens[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(opens)
+    return starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, bounds)
 
 
 def cut_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between space and the controls 9 to 13, for tokenizers that drop white space."""
-    return rolling.words_of(data, bounds)
+    """The same for tokenizers that drop white space: words, cut before the marks after them."""
+    starts, ends, _ = rolling.words_of(data, bounds)
+    marks = _marks_after_letters(data)
+    marks[starts] = False
+    marks = np.flatnonzero(marks)
+    # every mark after a letter lies inside a word, unless a document begins with it
+    starts = np.sort(np.concatenate((starts, marks)))
+    ends = np.sort(np.concatenate((ends, marks)))
+    return starts, ends, np.searchsorted(starts, bounds)
 
 
 class ChunkEncoder:
-    """Ids of the chunks of a batch; made once per task, remembers what it has encoded."""
+    """Ids of the chunks of a batch; remembers what it has encoded.
+
+    folds: the tokenizer lower-cases, so ASCII case is folded before chunks are told apart.
+    """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, folds: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.folds = folds
+        # a bare word goes to the library's model at once: nothing in it is normalised or split
+        self.bare = re.compile(rb"[a-z]+" if folds else rb" ?[A-Za-z]+")
         self.known: dict[bytes, bytes] = {}
 
+    def _encode(self, names: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(names)
+        rest = []
+        for i, name in enumerate(names):
+            if self.bare.fullmatch(name):
+                tokens = self.model.tokenize(name.decode().replace(" ", "Ġ"))
+                out[i] = np.array([t.id for t in tokens], "<u4").tobytes()
+            else:
+                rest.append(i)
+        fresh = self.tokenizer.encode_batch_fast(
+            [names[i].decode() for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, fresh):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each chunk)."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw = data.tobytes()
+        if self.folds and b"<|" not in raw:  # folding must not turn text into a special token
+            data = _LOWER[data]
+            raw = data.tobytes()
         _, where, which = np.unique(
             rolling.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
         names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-        found = [self.known.get(n) for n in names]
+        found = list(map(self.known.get, names))
         new = [i for i, f in enumerate(found) if f is None]
         if new:
             if len(self.known) + len(new) > KEPT_CHUNKS:
                 self.known.clear()
-            fresh = self.tokenizer.encode_batch_fast(
-                [names[i].decode() for i in new], add_special_tokens=False)
-            for i, e in zip(new, fresh):
-                found[i] = np.array(e.ids, "<u4").tobytes()
+            for i, ids in zip(new, self._encode([names[i] for i in new])):
+                found[i] = ids
                 if len(names[i]) <= LONGEST_KEPT:
-                    self.known[names[i]] = found[i]
+                    self.known[names[i]] = ids
         sizes = np.array([len(f) for f in found]) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         begin = np.cumsum(sizes) - sizes
         count = sizes[which]
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return flat[np.repeat(begin[which], count) + step], count
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(tokenizer_path: str, folds: bool = False) -> ChunkEncoder:
+    """One per worker process, so that tasks share what was encoded."""
+    return ChunkEncoder(tokenizer_path, folds)

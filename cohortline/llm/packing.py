@@ -207,7 +207,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunks.ChunkEncoder(path)
+        encoder = chunks.encoder(path, folds=True)
         for batch in batches:
             for row, end, data, bounds in rolling.text_pieces(batch.column("text")):
                 starts, ends, first = chunks.cut_words(data, bounds)

@@ -33,7 +33,7 @@ def tokenizer_digest(path: str) -> str:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunks.ChunkEncoder(path)
+        encoder = chunks.encoder(path)
         for batch in batches:
             for row, end, data, bounds in rolling.text_pieces(batch.column("text")):
                 starts, ends, first = chunks.cut_spaces(data, bounds)
