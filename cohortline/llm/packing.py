@@ -31,6 +31,8 @@ ISLANDS = 2
 POPULATION = 4
 GENERATIONS = 8
 ELITE = 1
+#: Where pooling alone no longer helps, shards may grow to this many times their size.
+GROWTH = 8
 #: Bins filled less than this are dissolved and packed again with those of other shards.
 WELL_FILLED = 0.995
 
@@ -183,6 +185,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
                 spark.sparkContext.defaultParallelism)
     full = pieces.filter(F.col("length") == capacity).select(
         "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    most = shard * GROWTH
     done, rest, level = [full], pieces.filter(F.col("length") < capacity), 0
     while True:
         n = rest.count()
@@ -196,9 +199,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         good = F.col("fill") >= WELL_FILLED * capacity
         done.append(named.filter(good).select("uid", "sequence_id", "offset"))
         rest, level = placed.filter(~good).select("uid", "length"), level + 1
-        if rest.count() > 0.9 * n:  # pooling no longer helps: keep the bins as they are
-            done.append(named.filter(~good).select("uid", "sequence_id", "offset"))
-            break
+        if rest.count() > 0.9 * n:  # pooling alone no longer helps
+            if shard >= most:
+                done.append(named.filter(~good).select("uid", "sequence_id", "offset"))
+                break
+            shard *= 2
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
