@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import by_kind, joined, of_kind, with_matches
+from .spans import bare, by_kind, joined, of_kind, with_matches
 from .tables import stored
 from .trees import ensemble_sum
 
@@ -39,7 +39,7 @@ SAMPLE = 20_000
 PRECISION = 0.95
 TREES = 8
 DEPTH = 3
-#: Code points of context before a candidate.
+#: Code points of context before a candidate, back to the previous one of its kind.
 CONTEXT = 24
 #: Words that announce personal data, in the languages of the corpus.
 CUES = "(?i)mail|phone|call|tel|fax|mobile|contact|card|visa|account|ip|address|server|host"
@@ -134,13 +134,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.struct(*(F.col(k) for k in keep or [id_col])).alias("carried"))
-    found = with_matches(rows, "text", BASE | GENERATORS)
-    cut = lambda s: F.substring(
-        "text", F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-    proposed = F.transform(F.concat(*GENERATORS), lambda s: s.withField("before", cut(s)))
+    found = with_matches(rows, "text", BASE | GENERATORS, context=CONTEXT)
     table = stored(found.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", "carried",
-        valid(found).alias("base"), proposed.alias("proposed")), "scanned")
+        bare(valid(found)).alias("base"), F.concat(*GENERATORS).alias("proposed")), "scanned")
     candidates = features(
         table.filter(F.size("proposed") > 0)
         .select("uid", "base", F.explode("proposed").alias("c"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import by_start, joined, of_kind, with_matches
+from .spans import bare, by_start, joined, of_kind, with_matches
 from .tables import stored
 
 KINDS = ["assign", "access", "hex"]
@@ -52,7 +52,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = stored(
         found.select(
             F.monotonically_increasing_id().alias("uid"), "doc_id", "repository", "owner",
-            by_start(base, KINDS).alias("base"), mixed.alias("mixed"))
+            by_start(bare(base), KINDS).alias("base"), bare(mixed).alias("mixed"))
         .withColumn("mixed", F.filter("mixed", lambda m: ~F.exists(
             "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))), "scanned")
     held = table.select("uid", "repository", "owner", F.explode(F.concat("base", "mixed")).alias("s")

@@ -7,36 +7,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "struct<kind:string,start:int,end:int,value:string>"
+SPAN = "struct<kind:string,start:int,end:int,value:string,before:string>"
+# matches whose lengths are summed at a time: places come from sums of blocks and sums within a block
+BLOCK = 64
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
 def with_matches(frame: DataFrame, text: str, patterns: dict[str, str],
-                 groups: dict[str, int] | None = None) -> DataFrame:
+                 groups: dict[str, int] | None = None, context: int = 0) -> DataFrame:
     """Add one array column of spans per kind: leftmost matches that do not overlap.
 
     A text is cut at its matches; the lengths of the pieces and of the matches give the places. It is
-    cut only where something matched. value is the given group of the match (0: all of it).
+    cut only where something matched. value is the given group of the match (0: all of it), before
+    the last `context` code points between the previous match of the kind and this one. The work
+    grows with the matches of a text, not with their square.
     """
     groups = groups or {}
     for kind, pattern in patterns.items():
         frame = frame.withColumn(f"_{kind}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     for kind, pattern in patterns.items():
         group = groups.get(kind, 0)
-        found = F.col(f"_{kind}")
+        found, rows, sizes, sums = (F.col(f"_{x}{kind}") for x in ("", "rows_", "sizes_", "sums_"))
         values = found if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        rows = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"),
-                            values.alias("v"))
-        none = F.array().cast(f"array<{SPAN}>")
-        step = F.aggregate(
-            rows, F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-                F.array_append(a["out"], F.struct(
-                    F.lit(kind).alias("kind"), (a["at"] + F.length(x["g"])).alias("start"),
-                    (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                    x["v"].alias("value"))).alias("out")))
-        frame = frame.withColumn(kind, F.when(F.size(found) > 0, step["out"]).otherwise(none))
-    return frame.drop(*(f"_{kind}" for kind in patterns))
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        some = F.size(found) > 0
+        last = F.floor((F.size(found) - 1) / BLOCK).cast("int")
+        frame = (
+            frame.withColumn(f"_rows_{kind}", F.when(some, F.arrays_zip(
+                gaps.alias("g"), found.alias("m"), values.alias("v"))))
+            .withColumn(f"_sizes_{kind}", F.transform(rows, lambda x: F.length(x["g"]) + F.length(x["m"])))
+            .withColumn(f"_sums_{kind}", F.when(some, F.transform(
+                F.sequence(F.lit(0), last), lambda b: _sum(F.slice(sizes, b * BLOCK + 1, BLOCK)))))
+            .withColumn(f"_sums_{kind}", F.when(some, F.transform(
+                F.sequence(F.lit(0), last), lambda b: _sum(F.slice(sums, 1, b))))))
+
+        def span(x: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = (F.get(sums, block) + _sum(F.slice(sizes, block * BLOCK + 1, i % BLOCK))
+                     + F.length(x["g"]))
+            return F.struct(
+                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"),
+                x["v"].alias("value"),
+                (F.right(x["g"], F.lit(context)) if context else F.lit("")).alias("before"))
+
+        frame = frame.withColumn(kind, F.coalesce(
+            F.transform(rows, span), F.array().cast(f"array<{SPAN}>")))
+    return frame.drop(*(f"_{x}{kind}" for kind in patterns for x in ("", "rows_", "sizes_", "sums_")))
 
 
 def joined(spans: Column) -> Column:
@@ -45,6 +64,11 @@ def joined(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def bare(spans: Column) -> Column:
+    """Spans without their context."""
+    return F.transform(spans, lambda s: s.dropFields("before"))
+
+
 def of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 

@@ -7,7 +7,7 @@ are broadcast only behind a check of their number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm import leaks, near, packing, pii, rules
@@ -19,61 +19,69 @@ BROADCAST_KEYS = 500_000
 BROADCAST_SPANS = 500_000
 
 
+def _keyed_columns() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(near.LAST)).alias("did"),
+            F.xxhash64("text").alias("th")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(near.LAST)),
-                             "_th": F.xxhash64("text")})
+    """(row, did, th): the whole row beside its key, so that no column of documents can clash."""
+    return docs.select(F.struct("*").alias("row"), *_keyed_columns())
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose key (_did, _th) is not rejected."""
-    keys = sized(stored(rejected.select("_did", "_th").distinct(), "rejected"), BROADCAST_KEYS)
-    return _keyed(docs).join(keys, ["_did", "_th"], "left_anti").drop("_did", "_th")
+    """Rows whose key (did, th) is not rejected."""
+    keys = sized(stored(rejected.select("did", "th").distinct(), "rejected"), BROADCAST_KEYS)
+    return _keyed(docs).join(keys, ["did", "th"], "left_anti").select("row.*")
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
     judged = rules.quality_rules(
-        docs, rules.trusted_ids(read(spark, sf_dir, "labels")), carry=docs.columns)
-    return judged.filter("kept").select(*docs.columns)
+        whole, rules.trusted_ids(read(spark, sf_dir, "labels")), carry=["row"])
+    return judged.filter("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
-    members = stored(near.near_members(docs).withColumnsRenamed({"did": "_did", "th": "_th"}), "members")
+    members = stored(near.near_members(docs), "members")
     left = _without(docs, members.filter("not kept"))
-    again = members.filter("kept").groupBy("_did", "_th").agg(F.count("*").alias("n")).filter("n > 1")
-    again = stored(again.select("_did", "_th"), "again")
+    again = members.filter("kept").groupBy("did", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    again = stored(again.select("did", "th"), "again")
     if again.isEmpty():
         return left
     # rows of one id and one text: nothing tells them apart, one stays
-    keys = sized(again, BROADCAST_KEYS)
-    rows = _keyed(left)
-    once = rows.join(keys, ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"])
-    return rows.join(keys, ["_did", "_th"], "left_anti").unionByName(once).select(*docs.columns)
+    keys, rows = sized(again, BROADCAST_KEYS), _keyed(left)
+    once = (rows.join(keys, ["did", "th"], "left_semi")
+            .groupBy("did", "th").agg(F.first("row").alias("row")))
+    rest = rows.join(keys, ["did", "th"], "left_anti")
+    return rest.select("row.*").unionByName(once.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = leaks.contaminated(docs, read(spark, sf_dir, "benchmark"))
     return _without(docs, found.select(
-        F.coalesce("doc_id", F.lit(near.LAST)).alias("_did"), F.col("text_hash").alias("_th")))
+        F.coalesce("doc_id", F.lit(near.LAST)).alias("did"), F.col("text_hash").alias("th")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the new text."""
-    rows = _keyed(docs)
+    keys = docs.select("doc_id", "text", *_keyed_columns())
     found = stored(
-        pii.personal_data(rows, keep=["_did", "_th"]).filter(F.size("spans") > 0)
-        .select("carried.*", "spans").dropDuplicates(["_did", "_th"]), "found")
+        pii.personal_data(keys, keep=["did", "th"]).filter(F.size("spans") > 0)
+        .select("carried.*", "spans").dropDuplicates(["did", "th"]), "found")
     spans = found.agg(F.sum(F.size("spans"))).first()[0] or 0
     if spans <= BROADCAST_SPANS:
         found = F.broadcast(found)
-    hidden = F.when(F.col("spans").isNotNull(), pii.redact(F.col("text"), F.col("spans")))
-    done = rows.join(found, ["_did", "_th"], "left").withColumn("text", F.coalesce(hidden, "text"))
+    hidden = pii.redact(F.col("row.text"), F.col("spans"))
+    row = F.col("row").withField("text", hidden)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars"))
-                               .otherwise(F.length("text").cast("long")))
-    return done.select(*docs.columns)
+        row = row.withField("n_chars", F.length(hidden).cast("long"))
+    done = _keyed(docs).join(found, ["did", "th"], "left").select(
+        F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row"))
+    return done.select("row.*").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
