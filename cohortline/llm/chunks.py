@@ -16,7 +16,7 @@ import numpy as np
 from . import rolling
 
 #: Distinct chunks kept per worker; beyond that the memory starts anew.
-KEPT_CHUNKS = 1_500_000
+KEPT_CHUNKS = 300_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
 # bytes after a space that may open white space of another kind: no cut there
