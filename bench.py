@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -20,7 +21,7 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
 HEADLINE = [
     "enriched_rows", "graduation_labels", "progress_snapshots", "granular_snapshots",
-    "student_profiles", "attendance_trend", "correlation_matrix", "target_correlation",
+    "student_profiles", "attendance_trend", "correlation_matrix", "correlation_matrix_rows", "target_correlation",
     "anova_grade_by_outcome", "chi_square_attendance", "retention_rate_by_band",
     "grade_histogram", "box_by_outcome", "backlog_box", "kde_by_outcome", "trend_bootstrap",
     "normalized_text", "subject_classification", "category_merge", "deterministic_sample",
@@ -36,6 +37,7 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortline-"))
         .config("spark.log.level", "ERROR")
         .getOrCreate())
     # start-up cost of the session and of the first scan belongs to no query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +9,11 @@ SMALL_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only in local mode without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder ``spark.checkpoint.dir`` names, or the one set on the context; else an error."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="cohortline-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -21,12 +21,13 @@ def _pearson(x: str, y: str) -> Column:
 
 
 def _within_one(r: Column) -> Column:
-    """Rounding may lead a hair beyond 1."""
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    """Rounding may lead a hair beyond 1; what is not a number is undefined."""
+    return F.when(F.isnan(r), None).when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def _double(column: str) -> str:
-    return f"cast(`{column}` as double)"
+    """The column as double; NaN counts as missing."""
+    return f"nanvl(cast(`{column}` as double), cast(null as double))"
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

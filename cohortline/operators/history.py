@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DecimalType, FractionalType, NumericType
 
 from cohortline.constants import FINAL_SEMESTER, METRICS, OTHER_CATEGORY, SENTINEL
 from cohortline.functions import academic
@@ -25,12 +25,16 @@ def grade_history(grades: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def sanitize(history: DataFrame, metrics=METRICS, key: str = "matricula") -> DataFrame:
-    """Sentinel to null in the numeric metric columns that exist; rows without a key dropped."""
-    numeric = {f.name for f in history.schema.fields if isinstance(f.dataType, NumericType)}
-    cleaned = {
-        m: F.nullif(F.col(m), F.lit(SENTINEL))
-        for m in present(history, metrics) if m in numeric
-    }
+    """Sentinel and NaN to null in the numeric metrics that exist; rows without a key dropped."""
+    kinds = {f.name: f.dataType for f in history.schema.fields if isinstance(f.dataType, NumericType)}
+
+    def known(metric):
+        missing = [SENTINEL]
+        if isinstance(kinds[metric], FractionalType) and not isinstance(kinds[metric], DecimalType):
+            missing.append(float("nan"))
+        return F.when(~F.col(metric).isin(*missing), F.col(metric))
+
+    cleaned = {m: known(m) for m in present(history, metrics) if m in kinds}
     return history.withColumns(cleaned).filter(F.col(key).isNotNull())
 
 

@@ -13,12 +13,12 @@ BINS = 4096
 
 
 def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct values per group with their counts; nulls count as a value.
+    """Distinct values per group with their counts; nulls count as a value, NaN as null.
 
     Checkpointed, as every user reads it several times.  Equal values combine on the map side.
     """
     return cut(
-        df.select(*groups, F.col(value).cast("double").alias(value))
+        df.select(*groups, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias(value))
         .groupBy(*groups, value).agg(F.count("*").alias("n"))
     )
 
@@ -79,15 +79,19 @@ def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
     """Find the values at the wanted ranks by counting values in ever narrower ranges.
 
     Each round splits a rank's current range [low, high] into equal bins, sums the counts per
-    bin (map-side combined) and keeps the bin the rank falls into.  The ends of a range always
-    land in different bins, so a range shrinks every round until it is one value.
+    bin (map-side combined) and keeps the bin the rank falls into.  Infinities have bins of their
+    own and the finite ends of a range always land in different bins, so a range shrinks every
+    round until it is one value.
     """
+    infinity = float("inf")
+    finite = F.when(F.abs(value) < infinity, F.col(value))
     ranks = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
         for i, p in enumerate(probabilities)])
     keys = [*groups, "i", "side"]
     extent = counts.groupBy(*groups).agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total"))
+        F.min(value).alias("low"), F.max(value).alias("high"), F.min(finite).alias("f_low"),
+        F.max(finite).alias("f_high"), F.sum("n").alias("total"))
     position = F.col("r.p") * (F.col("total") - 1)
     sides = F.array(
         F.struct(F.lit("floor").alias("side"), F.floor("position").alias("rank")),
@@ -97,19 +101,24 @@ def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
         .withColumn("position", position)
         .withColumn("s", F.explode(sides))
         .select(*groups, F.col("r.i").alias("i"), F.col("s.side").alias("side"),
-                F.col("s.rank").alias("rank"), "position", "low", "high",
+                F.col("s.rank").alias("rank"), "position", "low", "high", "f_low", "f_high",
                 F.lit(0).cast("long").alias("below"))
     )
     while not targets.filter(F.col("low") < F.col("high")).isEmpty():
         open_ranges = targets.filter(F.col("low") < F.col("high"))
-        width = F.col("high") - F.col("low")
-        bin_of = F.least(
-            F.floor((F.col(value) - F.col("low")) / width * BINS), F.lit(BINS - 1)).cast("int")
+        v, low, high = F.col(value), F.col("f_low"), F.col("f_high")
+        # the width of a range may itself be beyond the largest double: halves never are
+        part = F.when(high - low < infinity, F.try_divide(v - low, high - low)).otherwise(
+            F.try_divide(v / 2 - low / 2, high / 2 - low / 2))
+        bin_of = (F.when(v == -infinity, -1).when(v == infinity, BINS)
+                  .otherwise(F.coalesce(F.least(F.floor(part * BINS), F.lit(BINS - 1)), F.lit(0)))
+                  .cast("int"))
         per_bin = (
             _join_ranges(counts, open_ranges, groups)
             .filter((F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
             .groupBy(*keys, "rank", "position", "below", bin_of.alias("bin"))
-            .agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+            .agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
+                 F.min(finite).alias("f_low"), F.max(finite).alias("f_high"))
         )
         so_far = Window.partitionBy(*keys).orderBy("bin").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
@@ -117,7 +126,7 @@ def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
         narrowed = (
             per_bin.withColumn("upto", upto)
             .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-            .select(*keys, "rank", "position", "low", "high",
+            .select(*keys, "rank", "position", "low", "high", "f_low", "f_high",
                     (F.col("upto") - F.col("n")).alias("below"))
         )
         done = targets.filter(F.col("low") >= F.col("high"))
@@ -126,7 +135,8 @@ def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
     ceil_value = F.max(F.when(F.col("side") == "ceil", F.col("low")))
     fraction = F.max(F.col("position") - F.floor("position"))
     per_probability = targets.groupBy(*groups, "i").agg(
-        (floor_value + (ceil_value - floor_value) * fraction).alias("v"))
+        F.when(floor_value == ceil_value, floor_value)
+        .otherwise(floor_value + (ceil_value - floor_value) * fraction).alias("v"))
     return per_probability.groupBy(*groups).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
 

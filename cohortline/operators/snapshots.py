@@ -10,17 +10,32 @@ from cohortline.functions.academic import band
 from cohortline.functions.names import require, safe_name
 
 
-MAX_CATEGORIES = 1_000
+def category_list(history: DataFrame, column: str = "categoria_materia") -> list[str]:
+    """Distinct categories, sorted, to make columns of; for very many use ``category_snapshots``."""
+    found = history.select(column).distinct().filter(F.col(column).isNotNull()).collect()
+    return sorted(r[0] for r in found)
 
 
-def category_list(history: DataFrame, column: str = "categoria_materia") -> list[str]:
-    """Distinct categories, sorted.  They become columns, so their number must be modest."""
-    found = [r[0] for r in
-             history.select(column).distinct().filter(F.col(column).isNotNull())
-             .limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values; cannot make columns")
-    return sorted(found)
+def category_snapshots(history: DataFrame, entity: str = "alumno_carrera_hash",
+                       order: str = "semestre",
+                       category: str = "categoria_materia") -> DataFrame:
+    """Long form: one row per entity, semester and category taken in it, totals so far.
+
+    Any number of categories: they stay rows.  A missing grade counts as 0; rows without a
+    semester enter no total.
+    """
+    require(history, entity, order, category, "pf")
+    grade = F.coalesce(F.col("pf"), F.lit(0.0))
+    states = history.filter(F.col(order).isNotNull()).groupBy(entity, order, category).agg(
+        F.count("*").alias("n"), F.sum(grade).alias("sum"),
+        F.count_if(grade < PASSING_GRADE).alias("failed"))
+    so_far = Window.partitionBy(entity, category).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return states.select(
+        entity, F.col(order).alias("semestre_actual"), category,
+        F.sum("n").over(so_far).alias("materias_cursadas"),
+        F.sum("failed").over(so_far).alias("materias_reprobadas"),
+        (F.sum("sum").over(so_far) / F.sum("n").over(so_far)).alias("promedio_pf"))
 
 
 def progress_snapshots(history: DataFrame, entity: str = "alumno_carrera_hash",
@@ -36,7 +51,8 @@ def granular_snapshots(history: DataFrame, categories: list[str] | None = None,
                        keep_key: bool = True) -> DataFrame:
     """Snapshots with the mean grade and the failed count of each subject category.
 
-    ``categories`` fixes the columns; without it they are looked up in the data (one more pass).
+    ``categories`` fixes the columns, and a row of any other category is an error; without it they
+    are looked up in the data (one more pass).
     """
     require(history, "categoria_materia")
     if categories is None:
@@ -74,6 +90,11 @@ def _snapshots(history, entity, order, label, threshold, keep_key, categories):
         "all_summer": F.min(summer),
         "last": F.max(label) if has_label else F.max(order),
     }
+    if categories is not None:
+        own = F.col("categoria_materia")
+        listed = own.isNull() | own.isin(*categories.values())
+        filled = filled.withColumn("categoria_materia", F.when(listed, own).otherwise(
+            F.raise_error(F.concat(F.lit("no column for category "), own)).cast("string")))
     for i, category in enumerate((categories or {}).values()):
         member = F.col("categoria_materia") == category
         per_state[f"n_{i}"] = F.count_if(member)

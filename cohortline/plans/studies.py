@@ -68,11 +68,11 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def profile_study(raw: DataFrame, folder: str, sample_size: int = 20_000,
-                  use_sample: bool = True) -> dict[str, DataFrame]:
-    """Clean, enrich, label, optionally sample, profile; tables written to ``folder``."""
+def profile_study(raw: DataFrame, folder: str,
+                  sample_size: int | None = None) -> dict[str, DataFrame]:
+    """Clean, enrich, label, profile the whole table, or a sample where a size is given."""
     labelled = cut(labelled_history(raw))
-    if use_sample:
+    if sample_size is not None:
         labelled = cut(sampling.sample_exact(
             labelled, sample_size, ["alumno_carrera_hash", "id_grupo", "id_materia"]))
     tables = profile_tables(labelled)
@@ -82,6 +82,7 @@ def profile_study(raw: DataFrame, folder: str, sample_size: int = 20_000,
 
 def snapshot_study(raw: DataFrame) -> dict[str, DataFrame]:
     """Descriptive and inferential tables over grade rows and cumulative snapshots."""
+    raw = cut(raw)  # the source is read once, whatever number of tables follows
     enriched = enriched_history(raw)
     states = cut(progress(raw))
     students = cut(profiles(raw))

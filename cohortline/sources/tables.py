@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from cohortline.constants import CSV_MISSING, PERIODS
+from cohortline.functions.names import require
 from cohortline.operators.history import grade_history
 from cohortline.schemas import SUBJECT_CATEGORIES, SUBJECTS
 
@@ -37,41 +38,41 @@ def read_grade_history(spark: SparkSession, options: dict[str, str],
     return grade_history(table("nes_calificaciones"), table("nes_grupos"))
 
 
-def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None,
-                 spread_by: str | None = None) -> DataFrame:
-    """Parquet table; with ``spread_by`` it is spread over the cores if it has too few splits.
+def read_parquet(spark: SparkSession, path: str,
+                 schema: StructType | str | None = None) -> DataFrame:
+    """Parquet table."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
+
 
-    A row group is the smallest split, so a few big ones would leave most cores idle.  A table
-    with at least as many splits as cores is read as it is.
+def _read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+    """The columns of the schema, found by their names in the header, whatever their order.
+
+    The texts pandas takes as missing are null, as are cells that are no number where one is due.
+    A missing name is an error.  Cells with line breaks need ``multi_line``, which makes every file
+    one task; without them, pass False.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, spread_by)
-    return df
+    df = spark.read.options(
+        header=True, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8").csv(path)
+    require(df, *schema.names)
 
+    def cell(field):
+        text = F.when(~F.col(field.name).isin(*CSV_MISSING), F.col(field.name))
+        return text if isinstance(field.dataType, StringType) else text.try_cast(field.dataType)
 
-def _read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with header; the texts pandas takes as missing are null."""
-    df = (
-        spark.read.schema(schema)
-        .options(header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-        .csv(path))
-    return df.withColumns({
-        f.name: F.when(~F.col(f.name).isin(*CSV_MISSING), F.col(f.name))
-        for f in schema.fields if isinstance(f.dataType, StringType)})
+    return df.select(*[cell(f).alias(f.name) for f in schema.fields])
 
 
-def read_subjects(spark: SparkSession, path: str) -> DataFrame:
+def read_subjects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Unclassified subjects."""
-    return _read_csv(spark, path, SUBJECTS)
+    return _read_csv(spark, path, SUBJECTS, multi_line)
 
 
-def read_subject_categories(spark: SparkSession, path: str) -> DataFrame | None:
+def read_subject_categories(spark: SparkSession, path: str,
+                            multi_line: bool = True) -> DataFrame | None:
     """Classified subjects, or None where the path does not exist."""
     try:
-        return _read_csv(spark, path, SUBJECT_CATEGORIES)
+        return _read_csv(spark, path, SUBJECT_CATEGORIES, multi_line)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -79,9 +80,10 @@ def read_subject_categories(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV directory with header, UTF-8, replacing what is there."""
+    """CSV directory with header, UTF-8, cells as they are, replacing what is there."""
     df.write.mode("overwrite").options(
-        header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
+        header=True, quote='"', escape='"', encoding="UTF-8",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:

@@ -24,6 +24,12 @@ def test_sentinel_becomes_null_in_numeric_metrics_only(spark):
         ("a", None, "-10"), ("a", -5.0, "x"), ("a", 0.0, None), ("", 1.0, "y")]
 
 
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([("a", float("nan"), 1), ("b", 7.0, -10), ("c", None, 5)],
+                               "matricula string, pf double, pa int")
+    assert values(history.sanitize(df), "pf", "pa") == [(None, 1), (7.0, None), (None, 5)]
+
+
 def test_hash_strips_all_white_space(spark):
     df = spark.createDataFrame(
         [("\t 2020A  ", 3), ("\x1f2020A ", 3), (None, None)], "m string, c int")

@@ -114,6 +114,19 @@ def test_deviation_keeps_its_digits_far_from_zero(spark):
     assert got[3] == pytest.approx(math.sqrt(5.25), abs=1e-6)
 
 
+def test_unlisted_category_is_an_error(merged):
+    with pytest.raises(Exception, match="no column for category"):
+        snapshots.granular_snapshots(merged, ["ECONOMY"]).collect()
+
+
+def test_long_form_adds_up(merged):
+    out = snapshots.category_snapshots(merged)
+    last = out.groupBy(HASH, "categoria_materia").agg(F.max("materias_cursadas").alias("n"))
+    total = last.groupBy(HASH).agg(F.sum("n").alias("n"))
+    plain = merged.filter("semestre is not null").groupBy(HASH).agg(F.count("*").alias("n"))
+    assert total.exceptAll(plain).count() == 0
+
+
 def test_granular_properties(merged):
     out = snapshots.granular_snapshots(merged)
     failed = [c for c in out.columns if c.startswith("materias_reprobadas_") and "totales" not in c]

@@ -178,6 +178,25 @@ def test_large_groups_are_narrowed_exactly(spark, kind):
     assert got[None] == [3.0] * 7
 
 
+def test_infinities_and_nan_end(spark):
+    rng = random.Random(3)
+    finite = [rng.uniform(-1e308, 1e308) for _ in range(300)]
+    rows = [("g", v) for v in [*finite, float("inf"), float("inf"), float("-inf"), float("nan"), None]]
+    counts = counted_values(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
+    large = large_groups(counts, ["g"], "v", max_distinct=10)
+    got = quantiles(counts, ["g"], "v", [0.0, 0.5, 1.0], large).first()["q"]
+    ordered = sorted([*finite, float("inf"), float("inf"), float("-inf")])
+    assert got == [float("-inf"), pytest.approx(ordered[151]), float("inf")]
+
+
+def test_nan_is_no_correlation(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0), (float("nan"), 3.0), (3.0, 1.0), (4.0, 9.0), (5.0, 2.0)], "pf double, pa double")
+    got = {(r[0], r[1]): r[2] for r in correlation.correlation_matrix(df).collect()}
+    x, y = [1, 3, 4, 5], [2, 1, 9, 2]
+    assert got["pf", "pa"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame(
         [(1, v) for v in (0.0, 1.0, 2.0, 20.0)] + [(2, 5.0)] * 3 + [(3, None)], "g int, v double")

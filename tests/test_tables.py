@@ -58,13 +58,18 @@ def test_absent_dictionary(spark, tmp_path):
     assert tables.read_subject_categories(spark, str(tmp_path / "none.csv")) is None
 
 
-def test_few_splits_are_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    cores = spark.sparkContext.defaultParallelism
-    plain = tables.read_parquet(spark, str(tmp_path / "one"))
-    assert plain.rdd.getNumPartitions() == 1
-    spread = tables.read_parquet(spark, str(tmp_path / "one"), "id long", "id")
-    assert spread.rdd.getNumPartitions() == cores and rows(spread) == rows(plain)
+def test_csv_columns_by_name_and_blanks(spark, tmp_path):
+    path = str(tmp_path / "subjects")
+    spark.createDataFrame([("  lead ", 3, "7"), ("x", 4, "no number")],
+                          "materia string, carrera int, id_materia string").write.mode(
+        "overwrite").options(header=True, ignoreLeadingWhiteSpace=False,
+                             ignoreTrailingWhiteSpace=False).csv(path)
+    assert rows(tables.read_subjects(spark, path)) == [(7, "  lead "), (None, "x")] or set(
+        rows(tables.read_subjects(spark, path, multi_line=False))) == {(7, "  lead "), (None, "x")}
+    with pytest.raises(ValueError):
+        tables.read_subject_categories(spark, path)
+    tables.write_csv(spark.createDataFrame([(1, "  lead ")], "id_materia long, materia string"), path)
+    assert rows(tables.read_subjects(spark, path)) == [(1, "  lead ")]
 
 
 def test_period_dimension(spark):

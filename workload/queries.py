@@ -87,6 +87,14 @@ def sanitized_history(spark, folder):
     return rounded(history.sanitize(views.history(spark, folder)))
 
 
+@query
+def sanitized_nan(spark, folder):
+    """Grades that are not a number count as missing."""
+    grade = F.when(F.col("id_materia") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("pf"))
+    cleaned = history.sanitize(views.history(spark, folder).withColumn("pf", grade))
+    return rounded(cleaned.select("id_grupo", "id_materia", "semestre", "pf"))
+
+
 @query
 def enriched_rows(spark, folder):
     return rounded(enriched(spark, folder))
@@ -110,7 +118,8 @@ def label_value_counts(spark, folder):
 
 @query
 def category_merge(spark, folder):
-    merged = history.attach_category(enriched(spark, folder), views.part_types(spark, folder))
+    merged = history.attach_category(
+        enriched(spark, folder), views.part_types_with_gaps(spark, folder))
     return merged.select(HASH, "id_grupo", "id_materia", "semestre", "categoria_materia")
 
 
@@ -150,6 +159,16 @@ def granular_snapshots(spark, folder):
     return rounded(granular(spark, folder))
 
 
+@query
+def granular_long(spark, folder):
+    """Totals so far with one category per part, as rows."""
+    def job(rows):
+        return snapshots.category_snapshots(
+            rows.withColumn("categoria_materia", F.col("id_materia").cast("string")))
+
+    return rounded(studies.by_text_key(views.history(spark, folder), job))
+
+
 @query
 def snapshot_categories(spark, folder):
     """Granular snapshots with the category columns looked up in the data."""
@@ -241,6 +260,13 @@ def chi_square_p_value(spark, folder):
     return rounded(test.select("chi2", "dof", "p_value", "significant"))
 
 
+@query
+def anova_p_value(spark, folder):
+    """Five majors, so four degrees of freedom between groups: the tail has a closed form."""
+    test = inference.anova(labelled(spark, folder), "pf", "id_carrera")
+    return rounded(test.select("f_stat", "p_value", "significant"), ("f_stat",))
+
+
 @query
 def test_p_values(spark, folder):
     states = progress(spark, folder)
@@ -349,6 +375,24 @@ def csv_subjects(spark, folder):
     return taxonomy.subject_dictionary(tables.read_subjects(spark, path))
 
 
+@query
+def csv_reordered(spark, folder):
+    """Columns are found by name: another order and a further column change nothing."""
+    path = f"{shared_folder(spark)}/reordered-{uuid.uuid4().hex}"
+    tables.write_csv(views.part_subjects(spark, folder).select(
+        "materia", F.lit(1).alias("carrera"), "id_materia"), path)
+    return tables.read_subjects(spark, path)
+
+
+@query
+def csv_white_space(spark, folder):
+    """Blanks at the ends of a cell survive the way through a file."""
+    path = f"{shared_folder(spark)}/blanks-{uuid.uuid4().hex}"
+    tables.write_csv(views.part_subjects(spark, folder).withColumn(
+        "materia", F.concat(F.lit("  "), "materia", F.lit(" "))), path)
+    return tables.read_subjects(spark, path)
+
+
 # --- sampling and profile ---
 
 @query

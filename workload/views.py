@@ -61,12 +61,12 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
-    return read_parquet(spark, f"{folder}/{name}.parquet", SCHEMAS[name], spread_by)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_parquet(spark, f"{folder}/{name}.parquet", SCHEMAS[name])
 
 
 def grades(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem", "l_orderkey").selectExpr(*GRADES_SQL)
+    return table(spark, folder, "lineitem").selectExpr(*GRADES_SQL)
 
 
 def groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,14 +78,19 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def part_types(spark: SparkSession, folder: str) -> DataFrame:
-    """A dictionary by part type that lacks every seventh part, so some subjects stay unmatched."""
-    return table(spark, folder, "part").filter("p_partkey % 7 <> 0").selectExpr(
+    """A dictionary by part type."""
+    return table(spark, folder, "part").selectExpr(
         "p_partkey as id_materia", "p_type as categoria_materia")
 
 
+def part_types_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The dictionary without every seventh part: the merge has to meet unmatched subjects."""
+    return part_types(spark, folder).filter("id_materia % 7 <> 0")
+
+
 def part_subjects(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").selectExpr("p_partkey as id_materia", "p_name as materia")
 
 
 def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id").selectExpr("doc_id as id_materia", "text as materia")
+    return table(spark, folder, "documents").selectExpr("doc_id as id_materia", "text as materia")
