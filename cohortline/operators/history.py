@@ -9,7 +9,6 @@ from pyspark.sql.types import DecimalType, FractionalType, NumericType
 from cohortline.constants import FINAL_SEMESTER, METRICS, OTHER_CATEGORY, SENTINEL
 from cohortline.functions import academic
 from cohortline.functions.names import present
-from cohortline.operators.keyed import attach_by_key
 
 
 def grade_history(grades: DataFrame, groups: DataFrame) -> DataFrame:
@@ -71,14 +70,15 @@ def entity_labels(history: DataFrame, entity: str = "alumno_carrera_hash",
 def label_rows(history: DataFrame, entity: str = "alumno_carrera_hash",
                order: str = "semestre", threshold: int = FINAL_SEMESTER,
                label: str = "resultado_final") -> DataFrame:
-    """Every row with its entity's label.
+    """Every row with its entity's label; 0 where the entity is null.
 
     The label comes from a map-side combined aggregate joined back, not from a window over the
-    entity: one entity may own a large share of all rows.
+    entity: one entity may own a large share of all rows.  The join carries no hint: the labels are
+    broadcast if they are small when it runs, else AQE splits the partitions of heavy entities.
     """
-    labels = entity_labels(history, entity, order, threshold, label)
-    salt_by = present(history, ["id_grupo", "id_materia"]) or [order]
-    rows = attach_by_key(history, labels, entity, [label], weight="n_rows", salt_by=salt_by)
+    labels = history.groupBy(F.col(entity).alias("_labelled")).agg(
+        reached(order, threshold).alias(label))
+    rows = history.join(labels, F.col(entity) == F.col("_labelled"), "left").drop("_labelled")
     return rows.withColumn(label, F.coalesce(label, F.lit(0)))
 
 

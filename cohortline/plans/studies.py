@@ -18,8 +18,14 @@ def enriched_history(raw: DataFrame) -> DataFrame:
     return raw.transform(history.sanitize).transform(history.enrich)
 
 
-def labelled_history(raw: DataFrame) -> DataFrame:
-    return enriched_history(raw).transform(history.label_rows)
+def labelled_history(raw: DataFrame, label: str = "resultado_final") -> DataFrame:
+    """Cleaned and enriched rows with the label last; labels join on the short text key, and the
+    key is hashed once, after the join."""
+    rows = raw.transform(history.sanitize).withColumn(
+        "_entity", academic.entity_text("matricula", "id_carrera"))
+    done = rows.transform(history.label_rows, entity="_entity", label=label).drop("_entity")
+    return done.transform(history.enrich).select("*", F.col(label).alias("_label")).drop(
+        label).withColumnRenamed("_label", label)
 
 
 def by_text_key(raw: DataFrame, job, key: str = "alumno_carrera_hash") -> DataFrame:
@@ -87,7 +93,7 @@ def snapshot_study(raw: DataFrame) -> dict[str, DataFrame]:
     states = cut(progress(raw))
     students = cut(profiles(raw))
     return {
-        "label_counts": counting.value_counts(history.label_rows(enriched), "resultado_final"),
+        "label_counts": counting.value_counts(labelled_history(raw), "resultado_final"),
         "grade_histogram": distribution.histogram(enriched, "pf", "id_carrera"),
         "grade_kde": distribution.grade_kde(enriched),
         "student_profiles": students,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.constants import METRICS, PERIODS
-from cohortline.operators import keyed, profile, sampling
+from cohortline.operators import history, profile, sampling
 from cohortline.operators.bounded import small
 from cohortline.operators.distribution import histogram
 from cohortline.plans import studies
@@ -78,38 +78,20 @@ def test_period_dimension(spark):
 
 # --- skewed keys ---
 
-@pytest.mark.parametrize("broadcast_rows", [1_000, 0])
-def test_attach_by_key_with_a_hot_key(spark, broadcast_rows):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_labels_with_a_hot_entity(spark, threshold):
     data = [("hot", i) for i in range(3000)] + [(f"k{i % 300}", i) for i in range(5000)] + [(None, i) for i in range(1000)]
     df = spark.createDataFrame(data, "k string, i int").repartition(8)
-    per_key = df.groupBy("k").agg(F.max("i").alias("top"), F.count("*").alias("n"))
-    out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", ["i"], broadcast_rows, max_heavy=20)
-    assert out.columns == ["k", "i", "top"] and out.count() == len(data)
-    got = {(r["k"], r["top"]) for r in out.select("k", "top").distinct().collect()}
-    want = {r["k"]: r["top"] for r in per_key.collect() if r["k"] is not None}
-    assert got == set(want.items()) | {(None, None)}
-
-
-def test_hot_rows_do_not_meet_in_one_task(spark):
-    # also when they sit in one input partition
-    df = spark.range(8000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.col("id").cast("string")).alias("k"), "id").repartition(8, "k")
-    per_key = df.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n"))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    per_key = {k: max(i for x, i in data if x == k) for k in {k for k, _ in data} - {None}}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        out = keyed.attach_by_key(df, per_key, "k", ["top"], "n", ["id"], 0, max_heavy=10)
-        sizes = [r["n"] for r in out.filter("k = 'hot'").groupBy(
-            F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        out = history.label_rows(df, "k", "i", 2_900, "y")
+        assert out.columns == ["k", "i", "y"] and out.count() == len(data)
+        got = {(r["k"], r["y"]) for r in out.select("k", "y").distinct().collect()}
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-    assert sum(sizes) == 2667 and max(sizes) < 2667 * 0.3 and len(sizes) == 8
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(k, int(top >= 2_900)) for k, top in per_key.items()} | {(None, 0)}
 
 
 def test_small_hands_over_either_way(spark):
@@ -224,7 +206,7 @@ def test_studies_run_end_to_end(spark, folder, tmp_path):
     dictionary = tables.read_subject_categories(spark, str(tmp_path / "dictionary"))
     assert rows(dictionary) == rows(written["dictionary"])
     categories = studies.category_study(
-        raw, views.part_types(spark, folder), "promedio_pf_promo",
+        raw, views.part_types_with_gaps(spark, folder), "promedio_pf_promo",
         ["materias_reprobadas_totales", "materias_reprobadas_promo"])
     assert categories["backlog_box"].count() == 4
     assert categories["predictive_power"].count() == 7
