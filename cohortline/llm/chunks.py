@@ -15,7 +15,8 @@ import numpy as np
 
 from . import rolling
 
-#: Distinct chunks kept per worker; beyond that the memory starts anew.
+#: Distinct chunks kept per worker: the first ones met, common words among them. Others are encoded
+#: each time; forgetting all at the bound made common words be encoded again and again.
 KEPT_CHUNKS = 300_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
@@ -117,11 +118,11 @@ class ChunkEncoder:
         found = list(map(self.known.get, names))
         new = [i for i, f in enumerate(found) if f is None]
         if new:
-            if len(self.known) + len(new) > KEPT_CHUNKS:
-                self.known.clear()
+            room = KEPT_CHUNKS - len(self.known)
             for i, ids in zip(new, self._encode([names[i] for i in new])):
                 found[i] = ids
-                if len(names[i]) <= LONGEST_KEPT:
+                if room > 0 and len(names[i]) <= LONGEST_KEPT:
+                    room -= 1
                     self.known[names[i]] = ids
         sizes = np.array([len(f) for f in found]) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
