@@ -155,9 +155,13 @@ def _null_patterns(df: DataFrame) -> DataFrame:
 
 def missingness(df: DataFrame) -> DataFrame:
     """Null count and share of every column."""
-    names = F.explode(F.array(*[F.lit(c) for c in df.columns]))
+    return _missing_of(_null_patterns(df), df.columns)
+
+
+def _missing_of(patterns: DataFrame, columns: list[str]) -> DataFrame:
+    names = F.explode(F.array(*[F.lit(c) for c in columns]))
     return (
-        _null_patterns(df).select(names.alias("column"), "nulls", "n")
+        patterns.select(names.alias("column"), "nulls", "n")
         .groupBy("column").agg(
             F.sum(F.when(F.array_contains("nulls", F.col("column")), F.col("n"))
                   .otherwise(F.lit(0))).cast("long").alias("n_missing"),
@@ -170,10 +174,11 @@ def missingness(df: DataFrame) -> DataFrame:
 def co_missing(df: DataFrame) -> DataFrame:
     """Pairs of columns that are null in the same row: row count and nullity correlation.
 
-    Pairs come from the distinct null patterns, never from the rows.
+    Pairs come from the distinct null patterns, never from the rows; the patterns are stored, so
+    the rows are read once.
     """
-    patterns = _null_patterns(df)
-    single = missingness(df).filter(F.col("n_missing") > 0)
+    patterns = cut(_null_patterns(df))
+    single = _missing_of(patterns, df.columns).filter(F.col("n_missing") > 0)
     left = patterns.select("n", "nulls", F.explode("nulls").alias("column_1"))
     pairs = (
         left.select("n", "column_1", F.explode("nulls").alias("column_2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -449,3 +450,75 @@ def profile_co_missing(spark, folder):
 def profile_duplicates(spark, folder):
     rows = enriched(spark, folder).select("id_carrera", "semestre", "id_materia", "pf")
     return rounded(profile.duplicates(rows))
+
+
+# --- composite jobs ---
+
+def figures(report: str, df: DataFrame, item, value) -> DataFrame:
+    """One table of a study as rows (report, item, value)."""
+    return rounded(df.select(
+        F.lit(report).alias("report"), item.cast("string").alias("item"),
+        value.cast("double").alias("value")))
+
+
+def together(*parts: DataFrame) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def history_shape(spark, folder):
+    rows, columns = sampling.shape(history.sanitize(views.history(spark, folder)))
+    return spark.createDataFrame([(rows, columns)], "n_rows long, n_columns long")
+
+
+@query
+def profile_study(spark, folder):
+    """The profile of the whole history, written table by table and read back."""
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    studies.profile_study(views.history(spark, folder), path)
+    written = {name: tables.read_parquet(spark, f"{path}/{name}")
+               for name in ("overview", "numeric", "text", "missing", "histograms")}
+    return together(
+        *[figures("overview", written["overview"], F.lit(c), F.col(c))
+          for c in ("n_rows", "n_columns", "n_missing_cells", "n_duplicate_rows")],
+        figures("distinct", written["numeric"], F.col("column"), F.col("n_distinct")),
+        figures("distinct", written["text"], F.col("column"), F.col("n_distinct")),
+        figures("missing", written["missing"], F.col("column"), F.col("n_missing")),
+        figures("histograms", written["histograms"],
+                F.concat_ws("/", "column", F.col("bin").cast("string")), F.col("n")))
+
+
+@query
+def snapshot_study(spark, folder):
+    study = studies.snapshot_study(views.history(spark, folder))
+    return together(
+        figures("label_counts", study["label_counts"], F.col(OUTCOME), F.col("n")),
+        figures("trend", study["trend"], F.col("id_carrera"), F.col("slope")),
+        figures("correlation", study["target_correlation"], F.col("variable"), F.col("correlation")),
+        figures("chi_square", study["chi_square_attendance"], F.lit("chi2"), F.col("chi2")),
+        figures("retention", study["retention_rate"],
+                F.concat_ws("/", BAND, F.col(OUTCOME).cast("string")), F.col("percent")))
+
+
+@query
+def category_study(spark, folder):
+    study = studies.category_study(
+        views.history(spark, folder), views.part_types(spark, folder),
+        "promedio_pf_economy", BACKLOG, PART_TYPES)
+    failed = study["snapshots"].agg(*[
+        F.sum(c).alias(c) for c in study["snapshots"].columns if c.startswith("materias_reprobadas_")])
+    return together(
+        figures("power", study["predictive_power"], F.col("variable"), F.col("correlation")),
+        *[figures("failed", failed, F.lit(c), F.col(c)) for c in failed.columns])
+
+
+@query
+def dictionary_job(spark, folder):
+    """Subjects per category as the job counts them, and as its file holds them."""
+    path = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    job = studies.dictionary_job(views.document_subjects(spark, folder), path)
+    written = counting.value_counts(
+        tables.read_subject_categories(spark, path), "categoria_materia")
+    return together(
+        figures("counted", job["counts"], F.col("categoria_materia"), F.col("n")),
+        figures("written", written, F.col("categoria_materia"), F.col("n")))
