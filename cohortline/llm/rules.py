@@ -1,25 +1,38 @@
 """Quality rules: counts that fail a text outright, then a log-likelihood ratio of hashed n-grams.
 
-Words and word pairs are hashed to a fixed number of buckets. Two multinomials are counted over
-them: one over every document (raw), one over the trusted documents (target). A text's score is the
-mean over its n-grams of log p(target) - log p(raw); one fixed threshold decides every document.
+Words and word pairs are hashed to buckets. Two multinomials are counted over them: one over every
+document (raw), one over the trusted documents (target). A text's score is the mean over its n-grams
+of log p(target) - log p(raw); one fixed threshold decides every document.
+
+The number of buckets follows the counted n-grams, so that a bucket holds as many at any size of the
+corpus and the threshold keeps its meaning. Nothing of that size reaches the driver or a broadcast:
+1. Documents are packed into chunks, one compressed row each. The distinct buckets of a chunk go,
+   with their counts, to slices of neighbouring buckets.
+2. A slice sums its buckets over all chunks and answers each chunk with the sums it asked about.
+3. Chunks meet their answers in a join and are scored.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .tables import sized
+from .tables import stored
 
-#: Buckets of the hashed n-grams, as a power of two. They bound what is broadcast: 8 bytes each.
-BUCKET_BITS = 16
+#: N-grams per bucket, at any size of the corpus.
+LOAD = 8
+#: Neighbouring buckets that are summed together.
+SLICE = 1 << 19
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 8_000_000
 #: Weight of the uniform prior, in counts per bucket.
 PRIOR = 0.5
 #: Scores below this are rejected.
@@ -33,51 +46,124 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def ngram_buckets(words: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_buckets(words: np.ndarray, first: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, document of each) of all words and of all pairs of neighbours in a document."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     pairs = rolling.mix(words[:-1] * rolling.BASE + words[1:])
     inside = doc[1:] == doc[:-1]
     value = np.concatenate((words, pairs[inside]))
-    return ((rolling.mix(value) >> np.uint64(64 - bits)).astype(np.int64),
+    return ((rolling.mix(value) % np.uint64(buckets)).astype(np.int64),
             np.concatenate((doc, doc[1:][inside])))
 
 
-def _counts(bits: int):
+def log_ratio(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, buckets: int) -> np.ndarray:
+    """log p(target) - log p(raw) of buckets with these counts, out of n_raw and n_target n-grams."""
+    # the occurrence being scored is not held against its text: rare words stay near zero
+    others = np.maximum(raw - 1, 0)
+    return (np.log((target + PRIOR) / (n_target + PRIOR * buckets))
+            - np.log((others + PRIOR) / (n_raw + PRIOR * buckets)))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw = target = size = 0
+    for batch in batches:
+        trusted = np.asarray(batch.column("_trusted").to_pylist(), bool)
+        for row, end, data, bounds in rolling.text_pieces(batch.column("_text")):
+            grams = np.maximum(2 * np.diff(rolling.words_of(data, bounds)[2]) - 1, 0)
+            raw += int(grams.sum())
+            target += int(grams[trusted[row:end]].sum())
+            size += len(data)
+    yield pa.RecordBatch.from_arrays([pa.array([n]) for n in (raw, target, size)],
+                                     names=["raw", "target", "size"])
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, compressed by their bytes of equal weight."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return struct.pack("<BQ", kind.itemsize, len(values)) + pa.compress(
+        planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    planes = pa.decompress(data[9:], width * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(
+        f"<u{width}").ravel().astype(np.int64)
+
+
+def _chunks(chunk_bytes: int):
+    def row(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema,
+                               options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            names=["chunk", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        key, held, size = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
-            trusted = np.asarray(batch.column("trusted").to_pylist(), bool)
-            for row, end, data, bounds in rolling.text_pieces(batch.column("text")):
-                starts, ends, first = rolling.words_of(data, bounds)
-                bucket, doc = ngram_buckets(rolling.word_hashes(data, starts, ends), first, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
-                target += np.bincount(bucket[trusted[row:end][doc]], minlength=1 << bits)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])],
-            names=["bucket", "raw", "target"])
+            for begin, end, data, _ in rolling.text_pieces(batch.column("_text")):
+                held.append(batch.slice(begin, end - begin))
+                size += len(data)
+                if size >= chunk_bytes:
+                    yield row(key, held)
+                    key, held, size = key + 1, [], 0
+        if held:
+            yield row(key, held)
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
-               bits: int = BUCKET_BITS) -> np.ndarray:
-    """log p(target) - log p(raw) per bucket, counted over all documents."""
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).filter(
-        "id is not null").distinct().withColumn("trusted", F.lit(True))
-    texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-             .join(sized(ids, BROADCAST_IDS), "id", "left").select("text", F.col("trusted").isNotNull().alias("trusted")))
-    rows = (texts.mapInArrow(_counts(bits), "bucket int, raw long, target long")
-            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-            .toPandas())  # one row per bucket at most
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
-    if not target.sum():
-        return np.zeros(1 << bits)
-    # the occurrence being scored is not held against its text: rare words stay near zero
-    others = np.maximum(raw - 1, 0)
-    return (np.log((target + PRIOR) / (target.sum() + PRIOR * len(target)))
-            - np.log((others + PRIOR) / (raw.sum() + PRIOR * len(raw))))
+def _pieces(docs: bytes, buckets: int) -> Iterator[tuple]:
+    """(rows, bytes, bounds, word starts, word ends, first words, words, buckets, document of each)."""
+    for batch in pa.ipc.open_stream(docs):
+        for row, end, data, bounds in rolling.text_pieces(batch.column("_text")):
+            starts, ends, first = rolling.words_of(data, bounds)
+            words = rolling.word_hashes(data, starts, ends)
+            yield (batch.slice(row, end - row), data, bounds, starts, ends, first, words,
+                   *ngram_buckets(words, first, buckets))
+
+
+def _asked(buckets: int, slice_size: int):
+    """Distinct buckets of each chunk with their counts, one row per slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
+                marked = [np.zeros(0, np.int64)]
+                for rows, *_, bucket, doc in _pieces(docs.as_py(), buckets):
+                    trusted = np.asarray(rows.column("_trusted").to_pylist(), bool)
+                    marked.append(2 * bucket + trusted[doc])
+                key = np.sort(np.concatenate(marked))
+                start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+                if not len(start):
+                    continue
+                place, raw = key[start] >> 1, np.diff(np.append(start, len(key)))
+                target = np.add.reduceat(key & 1, start)
+                cut = np.append(np.flatnonzero(np.diff(place // slice_size, prepend=-1)), len(place))
+                parts = list(zip(cut[:-1], cut[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(parts)), pa.array(place[cut[:-1]] // slice_size),
+                     pa.array([pack(np.diff(place[a:b] % slice_size, prepend=0)) for a, b in parts]),
+                     pa.array([pack(raw[a:b]) for a, b in parts]),
+                     pa.array([pack(target[a:b]) for a, b in parts])],
+                    names=["chunk", "slice", "steps", "raw", "target"])
+    return run
+
+
+def _answered(slice_size: int):
+    def run(asked: pa.Table) -> pa.Table:
+        places = [np.cumsum(unpack(x)) for x in asked.column("steps").to_pylist()]
+        out = {}
+        for name in ("raw", "target"):
+            sums = np.zeros(slice_size, np.int64)
+            for place, counts in zip(places, asked.column(name).to_pylist()):
+                sums[place] += unpack(counts)
+            out[name] = pa.array([pack(sums[place]) for place in places], pa.binary())
+        return pa.table({"chunk": asked.column("chunk"), "slice": asked.column("slice"), **out})
+    return run
 
 
 def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -126,51 +212,93 @@ def _repeated_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) ->
     return np.bincount(doc[frame.duplicated().to_numpy()], minlength=docs).astype(np.int64)
 
 
-def _judge(ratios, bits: int, carry: list[str]):
+def _ratios(sums: list[dict], place: np.ndarray, n_raw: int, n_target: int, buckets: int) -> np.ndarray:
+    """Log ratio of each of the distinct buckets of a chunk, from the answers of all slices."""
+    sums = sorted(sums or [], key=lambda x: x["slice"])
+    raw, target = (np.concatenate([np.zeros(0, np.int64), *(unpack(x[k]) for x in sums)])
+                   for k in ("raw", "target"))
+    if len(raw) != len(place):  # a task that ran again met other rows
+        raise RuntimeError("the documents came in another order when they were read again; store them first")
+    return log_ratio(raw, target, n_raw, n_target, buckets)
+
+
+def _judge(n_raw: int, n_target: int, buckets: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = ratios.value
         for batch in batches:
-            for row, end, data, bounds in rolling.text_pieces(batch.column("_text")):
-                starts, ends, first = rolling.words_of(data, bounds)
-                words = rolling.word_hashes(data, starts, ends)
-                bucket, doc = ngram_buckets(words, first, bits)
-                total = np.bincount(doc, weights=ratio[bucket], minlength=end - row)
-                grams = np.bincount(doc, minlength=end - row)
-                letters = np.zeros(len(data) + 1, np.int64)
-                np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
-                sizes = letters[ends] - letters[starts]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(row, end - row) for k in ["_id", *carry]),
-                     pa.array(np.diff(first).astype(np.int64)), pa.array(_per_doc(sizes, first)),
-                     pa.array(_per_doc(SYMBOL[data], bounds)),
-                     pa.array(_repeated_lines(data, bounds, starts)),
-                     pa.array(_repeated_words(words, first, REPEAT_WINDOW)),
-                     pa.array(np.round(total / np.maximum(grams, 1), 9))],
-                    names=["_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                           "n_repeat_words", "score"])
+            for docs, sums in zip(batch.column("docs"), batch.column("sums")):
+                docs = docs.as_py()
+                if n_target:
+                    place = np.sort(np.concatenate([p[-2] for p in _pieces(docs, buckets)]))
+                    place = place[np.diff(place, prepend=-1) > 0]
+                    ratio = _ratios(sums.as_py(), place, n_raw, n_target, buckets)
+                for rows, data, bounds, starts, ends, first, words, bucket, doc in _pieces(docs, buckets):
+                    n = len(bounds) - 1
+                    total = np.zeros(n)
+                    if n_target:
+                        order = np.argsort(bucket)  # neighbours are found near each other
+                        found = np.empty(len(bucket))
+                        found[order] = ratio[np.searchsorted(place, bucket[order])]
+                        total = np.bincount(doc, weights=found, minlength=n)
+                    grams = np.bincount(doc, minlength=n)
+                    letters = np.zeros(len(data) + 1, np.int64)
+                    np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
+                    sizes = letters[ends] - letters[starts]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(rows.column(k) for k in ["_id", *carry]),
+                         pa.array(np.diff(first).astype(np.int64)), pa.array(_per_doc(sizes, first)),
+                         pa.array(_per_doc(SYMBOL[data], bounds)),
+                         pa.array(_repeated_lines(data, bounds, starts)),
+                         pa.array(_repeated_words(words, first, REPEAT_WINDOW)),
+                         pa.array(np.round(total / np.maximum(grams, 1), 9))],
+                        names=["_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                               "n_repeat_words", "score"])
     return run
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text", bits: int = BUCKET_BITS, threshold: float = THRESHOLD,
-                  carry: list[str] | None = None) -> DataFrame:
+                  text_col: str = "text", load: int = LOAD, threshold: float = THRESHOLD,
+                  carry: list[str] | None = None, slice_size: int = SLICE,
+                  chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept).
 
     trusted: a frame whose first column holds the ids of trusted documents. carry: columns of docs
-    to pass along instead of doc_id, so that a filter needs no join back.
+    to pass along instead of doc_id, so that a filter needs no join back. load: n-grams per bucket.
 
     Null and empty texts have no words: they fail. Null ids are scored as any row and are never
     trusted. Repeated rows count each time and get equal verdicts. With no trusted text all scores
     are 0 and only the base rules decide. An empty table gives an empty frame. Columns outside carry
-    are not read; carried names must differ from the result's own.
+    are not read; carried names must differ from the result's own. docs is read three times and must
+    give the same rows in each partition; where it does not, the job fails.
     """
-    ratios = docs.sparkSession.sparkContext.broadcast(
-        log_ratios(docs, trusted, id_col, text_col, bits))
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).filter(
+        "_id is not null").distinct().withColumn("_trusted", F.lit(True))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), *(carry or []),
                        F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
-    judged = rows.mapInArrow(
-        _judge(ratios, bits, carry or []),
+    rows = (rows.join(F.broadcast(ids) if few else ids, "_id", "left")
+            .withColumn("_trusted", F.col("_trusted").isNotNull()))
+    n_raw, n_target, size = (n or 0 for n in (
+        rows.select("_text", "_trusted").mapInArrow(_totals, "raw long, target long, size long")
+        .agg(F.sum("raw"), F.sum("target"), F.sum("size")).first()))
+    buckets = max(1, -(-n_raw // load))
+    packed = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, docs binary")
+    if not few:  # rows out of a shuffled join have no fixed order
+        packed = stored(packed, "chunks")
+    if n_target:
+        asked = packed.mapInArrow(_asked(buckets, slice_size),
+                                  "chunk long, slice long, steps binary, raw binary, target binary")
+        answers = asked.groupBy("slice").applyInArrow(
+            _answered(slice_size), "chunk long, slice long, raw binary, target binary")
+        # a task gets few chunks, as each is one row of megabytes
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
+        sums = (answers.repartition(parts, "chunk").groupBy("chunk")
+                .agg(F.collect_list(F.struct("slice", "raw", "target")).alias("sums")))
+        packed = packed.repartition(parts, "chunk").join(sums.hint("merge"), "chunk", "left")
+    else:
+        packed = packed.withColumn("sums", F.lit(None))
+    judged = packed.select("docs", "sums").mapInArrow(
+        _judge(n_raw, n_target, buckets, carry or []),
         f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, score double")
     judged = judged.drop("_id") if carry else judged.withColumnRenamed("_id", "doc_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm import leaks, packing, pii, quality, rules, secrets, tokens
+from cohortline.llm import leaks, packing, pii, quality, rolling, rules, secrets, tokens
 
 from . import brute
 from .conftest import frame, prose
@@ -99,6 +99,37 @@ def test_foreign_text_scores_low(spark):
     assert {r.doc_id for r in got.filter("kept").collect()} == {i for i, _ in good}
 
 
+def test_scores_follow_the_counted_ngrams(spark, docs, corpus):
+    trusted = [1, 2, 4, 6, 8]
+    pairs = []
+    for i, t in corpus:
+        words = [w.encode() for w in brute.WORD.findall(t or "")]
+        data, bounds = np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])
+        starts, ends, first = rolling.words_of(data, bounds)
+        pairs.append((i, rolling.word_hashes(data, starts, ends), first))
+    n = sum(max(2 * len(w) - 1, 0) for _, w, _ in pairs)
+    buckets = -(-n // rules.LOAD)
+    held = [(i, rules.ngram_buckets(w, f, buckets)[0]) for i, w, f in pairs]
+    raw = np.bincount(np.concatenate([b for _, b in held]), minlength=buckets)
+    target = np.bincount(np.concatenate([b for i, b in held if i in trusted]), minlength=buckets)
+    ratio = rules.log_ratio(raw, target, n, target.sum(), buckets)
+    want = sorted(((i, round(ratio[b].mean() if len(b) else 0, 6)) for i, b in held), key=repr)
+    ids = spark.createDataFrame([(i,) for i in trusted], "id long")
+    for parts in ({}, {"slice_size": 100, "chunk_bytes": 3_000}):
+        got = rules.quality_rules(docs, ids, **parts).select("doc_id", "score").collect()
+        assert [(i, pytest.approx(s, abs=2e-6)) for i, s in want] == sorted(
+            ((i, round(s, 6)) for i, s in got), key=repr)
+
+
+def test_rules_reject_junk_at_size(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet".replace("sf0.001", "sf0.1"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet".replace("sf0.001", "sf0.1"))
+    got = rules.query(docs, labels).join(labels, "doc_id").filter("n_words >= 10")
+    n = {r.quality: r for r in got.groupBy("quality").agg(
+        F.count("*").alias("n"), F.sum((F.col("score") < rules.THRESHOLD).cast("int")).alias("low")).collect()}
+    assert n[0].low >= 0.97 * n[0].n and n[1].low <= 0.003 * n[1].n
+
+
 def test_quality_on_held_out_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet".replace("sf0.001", "sf0.1"))
     labels = spark.read.parquet(f"{folder}/labels.parquet".replace("sf0.001", "sf0.1"))
