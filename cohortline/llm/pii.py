@@ -2,7 +2,7 @@
 
 High-recall generators propose candidate spans, which may overlap. Boosted trees score a candidate
 by its format and by the words before it; they learn from a bounded sample of the corpus's own
-candidates, positive where a validated pattern covers them. A threshold calibrated on held-out
+candidates, positive where a validated pattern covers them. A threshold calibrated on all other
 candidates picks the spans that are added to the fixed ones. All of it runs in the JVM.
 """
 
@@ -33,8 +33,10 @@ GENERATORS = {
     "dotted": "[0-9]{1,5}+(?:[.:][0-9]{1,5}+){3,7}+",
     "number_like": "[+(]?[0-9][\\x20().0-9-]{6,40}[0-9]",
 }
-#: Candidates for training and calibration, at most about this many.
+#: Candidates that the trees are fitted on, at most about this many; all others calibrate the threshold.
 SAMPLE = 20_000
+#: Share of the candidates of a small corpus that the trees are fitted on.
+FIT_SHARE = 0.75
 #: Share of true spans among added ones that calibration asks for.
 PRECISION = 0.95
 TREES = 8
@@ -87,25 +89,28 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def fitted(share: float) -> Column:
+    """Candidates of the fitting part, by place and not by value: a hot value enters in proportion."""
+    return F.pmod(F.xxhash64("uid", "kind", "start"), F.lit(1 << 40)) < int(share * (1 << 40))
+
+
 def candidate_scorer(rows: DataFrame, sample: int = SAMPLE) -> tuple[Column, float] | None:
-    """(score column over FEATURES, threshold), fitted on a sample of candidates with a label.
+    """(score column over FEATURES, threshold): trees fitted on a sample of candidates with a label,
+    the threshold counted over all others.
 
     None where the candidates show only one label or no threshold reaches the precision asked for.
     """
     n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = stored(rows.filter(
-        F.pmod(F.xxhash64("value", "before"), F.lit(1_000_000)) < int(share * 1_000_000))
-        .withColumn("held", F.pmod(F.xxhash64("before", "value", F.lit(7)), F.lit(4)) == 0)
-        .select(*FEATURES, "label", "held"), "sample")
-    if picked.filter("not held").agg(F.count_distinct("label")).first()[0] < 2:
+    fit = fitted(min(FIT_SHARE, sample / max(n, 1)))
+    picked = stored(rows.filter(fit).select(*FEATURES, "label"), "sample")
+    if picked.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    train = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(picked.filter("not held"))
+    train = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(picked)
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
                           maxBins=16, stepSize=0.3, seed=1).fit(train)
     score = 1 / (1 + F.exp(-2 * ensemble_sum(model, FEATURES)))
-    # a table of 100 score steps: precision of all held-out candidates at or above each
-    steps = (picked.filter("held").withColumn("step", F.floor(score * 100))
+    # a table of 100 score steps: precision of all candidates outside the fitting part at or above each
+    steps = (rows.filter(~fit).withColumn("step", F.floor(score * 100))
              .groupBy("step").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
              .orderBy(F.desc("step")).collect())
     good = total = 0
