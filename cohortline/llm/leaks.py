@@ -90,20 +90,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the weight of a shingle being its number of occurrences; at least percent / 100.
 
     Null and empty texts, and texts or items under five words, have no shingle and match nothing.
-    Null ids stay null. Repeated rows give one row, as do equal texts under one id. An item repeated
-    under one id counts once, with the least of its texts. Empty tables give an empty frame. Other
-    columns are not read.
+    Null ids stay null. Repeated rows give one row, as do equal texts under one id. Every text of an
+    item is searched, also where several share an id or have none; the best window of an id's texts
+    counts. Empty tables give an empty frame. Other columns are not read.
     """
     key = ["did", "th"]
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did"),
         F.xxhash64(F.col(text_col)).alias("th"), shingles(F.col(text_col)).alias("hs"))
+    # ik: one text of one item id, never null
     items = stored(
-        benchmark.groupBy(F.col(item_col).alias("item_id")).agg(F.min(item_text).alias("text"))
-        .select("item_id", shingles(F.col("text")).alias("hs")).filter(F.size("hs") > 0)
-        .withColumn("n", F.size("hs")), "items")
-    item_rows = items.select("item_id", "n", F.explode("hs").alias("h"))
+        benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).distinct()
+        .select("item_id", F.xxhash64("item_id", "text").alias("ik"), shingles(F.col("text")).alias("hs"))
+        .filter(F.size("hs") > 0).withColumn("n", F.size("hs")), "items")
+    item_rows = items.select("ik", "n", F.explode("hs").alias("h"))
     known = item_rows.select("h", "n").distinct()
 
     # outer: no filter on the shingles is inferred, which would make them twice
@@ -133,22 +134,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "grams")
     wkey = [*key, "n", "s"]
     prints = fingerprint(grams, wkey, "n")
-    item_prints = fingerprint(item_rows, ["item_id", "n"], "n")
+    item_prints = fingerprint(item_rows, ["ik", "n"], "n")
     index = stored(block_rows(item_prints, BLOCKS, radius // BLOCKS), "index")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("other")))
     pairs = (block_rows(prints, BLOCKS)
              .join(sized(index.withColumnRenamed("print", "other"), BROADCAST_ROWS), ["n", "block", "value"])
-             .select(*wkey, "item_id", distance.alias("distance"))
+             .select(*wkey, "ik", distance.alias("distance"))
              .filter(F.col("distance") <= radius).distinct())
 
     weights = grams.groupBy(*wkey, "h").agg(F.count("*").alias("w"))
-    item_weights = item_rows.groupBy("item_id", "h").agg(F.count("*").alias("v"))
-    shared = (weights.join(pairs, wkey).join(sized(item_weights, BROADCAST_ROWS), ["item_id", "h"])
-              .groupBy(*wkey, "item_id", "distance")
+    item_weights = item_rows.groupBy("ik", "h").agg(F.count("*").alias("v"))
+    shared = (weights.join(pairs, wkey).join(sized(item_weights, BROADCAST_ROWS), ["ik", "h"])
+              .groupBy(*wkey, "ik", "distance")
               .agg(F.sum(F.least("w", "v")).alias("shared"))
               .withColumn("all", 2 * F.col("n") - F.col("shared"))
               .filter(F.expr(f"100 * shared >= {percent} * all")))
-    best = shared.groupBy(*key, "item_id").agg(F.min(F.struct(
+    named = shared.join(sized(items.select("ik", "item_id"), BROADCAST_ROWS), "ik")
+    best = named.groupBy(*key, "item_id").agg(F.min(F.struct(
         (-F.col("shared") / F.col("all")).alias("less"), "s", "n", "distance")).alias("x"))
     return best.join(texts.select(*key, "doc_id"), key).select(
         "doc_id", F.col("th").alias("text_hash"), "item_id",
