@@ -17,6 +17,8 @@ from cohortline.llm.tables import read, sized, stored
 BROADCAST_KEYS = 500_000
 # redacted spans (under 100 bytes each) are broadcast up to this many, joined beyond
 BROADCAST_SPANS = 500_000
+# words of a shingle in near_dedup; op7's contract of four binds its own query alone
+STAGE_SHINGLE = 5
 
 
 def _keyed_columns() -> list[Column]:
@@ -45,7 +47,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least id."""
-    members = stored(near.near_members(docs), "members")
+    members = stored(near.near_members(docs, shingle=STAGE_SHINGLE), "members")
     left = _without(docs, members.filter("not kept"))
     again = members.filter("kept").groupBy("did", "th").agg(F.count("*").alias("n")).filter("n > 1")
     again = stored(again.select("did", "th"), "again")
