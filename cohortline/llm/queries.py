@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import leaks, near, packing, pii, quality, rules, secrets, substrings, suffixes, tokens
+from . import (
+    curriculum, leaks, near, packing, pii, plain_sql, quality, rules, secrets, substrings, suffixes, tokens,
+    tries, variants)
 from .tables import read
 
 
@@ -27,13 +29,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": _over(pii.query, "documents"),
     "op9_secrets": _over(secrets.query, "documents"),
     "op10_quality_rules": _over(rules.query, "documents", "labels"),
+    "op11_conversation_trie": _over(tries.query, "conversations"),
+    "op12_source_curriculum": _over(curriculum.query, "documents"),
+    "op13_spelling_variants": _over(variants.query, "documents"),
     "pipeline": corpus_pipeline.run,
 }
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
 
 #: Plain SQL where it can express the whole result; the other queries have brute-force tests.
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = plain_sql.ORACLE_SQL | {
     "op2_substring_dedup": f"""
 with d as materialized (
   select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w
