@@ -35,12 +35,3 @@ def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     if head.num_rows > max_rows:
         return cut(df)
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Over all shuffle partitions, ahead of a step that multiplies rows inside its task.
-
-    AQE sizes partitions by the bytes they hold, which would leave such a step to few tasks.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *columns)

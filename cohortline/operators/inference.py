@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.names import require
 from cohortline.functions.tails import chi2_tail, f_tail
-from cohortline.operators.bounded import cut, small, spread
+from cohortline.operators import batches as B
+from cohortline.operators.bounded import cut, small
 from cohortline.operators.counting import contingency
 
 SIGNIFICANCE = 0.05
 PRIME = 2_147_483_647
+#: Rows of one weight matrix, and groups whose sums a task holds at a time.
+WEIGHT_ROWS, HELD_GROUPS = 1_000, 200
 
 
 def anova_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -166,6 +172,59 @@ def _poisson_steps() -> list[float]:
     return steps
 
 
+def _replicate_moments(group: str, replicates: int):
+    """Weight matrix times moment matrix of each batch: (group, replicate) sums, one per task."""
+    steps = [math.ceil(step * PRIME) for step in _poisson_steps()]
+    numbers = np.arange(1, replicates + 1)
+    names = ["n", "sx", "sy", "sxx", "sxy"]
+
+    def rows(held: dict[tuple, np.ndarray], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+        for key, sums in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(key) * replicates, fields[0].type), pa.array(numbers.astype(np.int32)),
+                 *map(pa.array, sums.T.copy())], names=[group, "replicate", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        fields: list[pa.Field] = []
+        for batch in batches:
+            fields = B.key_fields(batch, [group])
+            a, b = (batch.column(k).to_numpy() for k in ("a", "b"))
+            dx, dy = (B.doubles(batch, k) for k in ("dx", "dy"))
+            for key, place in B.group_slices(batch, [group]):
+                sums = held.setdefault(key, np.zeros((replicates, 5)))
+                for at in range(0, len(place), WEIGHT_ROWS):
+                    own = place[at: at + WEIGHT_ROWS]
+                    draw = (a[own, None] * numbers + b[own, None]) % PRIME
+                    weight = np.zeros(draw.shape)
+                    for step in steps:
+                        weight += draw >= step
+                    x, y = dx[own], dy[own]
+                    sums += weight.T @ np.column_stack([np.ones(len(own)), x, y, x * x, x * y])
+            if len(held) > HELD_GROUPS:
+                yield from rows(held, fields)
+                held = {}
+        yield from rows(held, fields)
+    return run
+
+
+def _band(group: str, points: int, tails: list[float]):
+    """Quantiles of a group's lines at evenly spaced x; a group has `replicates` lines."""
+    def run(lines: pa.Table) -> pa.Table:
+        slope, base, x_mid, y_mid, low, high = (
+            lines.column(k).to_numpy() for k in ("slope", "base", "x_mid", "y_mid", "x_min", "x_max"))
+        at = low[0] + np.arange(points) * ((high[0] - low[0]) / (points - 1))
+        known = ~np.isnan(slope)
+        q = np.full((2, points), np.nan)
+        if known.any():
+            y = y_mid[known, None] + base[known, None] + slope[known, None] * (at - x_mid[known, None])
+            q = np.quantile(y, tails, axis=0)
+        return pa.table({
+            group: lines.column(group).take(pa.array([0] * points)), "point": pa.array(np.arange(points, dtype=np.int32)),
+            "x": at, **{k: pa.array(v, from_pandas=True) for k, v in zip(("low", "high"), q)}})
+    return run
+
+
 def trend_band(df: DataFrame, group: str, entity: str, x: str, y: str,
                replicates: int = 1000, points: int = 100, level: float = 0.95,
                seed: int = 0) -> DataFrame:
@@ -173,54 +232,33 @@ def trend_band(df: DataFrame, group: str, entity: str, x: str, y: str,
 
     Every row gets a Poisson(1) weight in every replicate.  The weight is a fixed function of
     the entity, the replicate and the seed: two numbers from the entity's MD5 make a linear
-    hash of the replicate number, so a lost task redraws the same weights.  Each task folds its
-    rows into one set of weighted moments per (group, replicate) before the shuffle.
+    hash of the replicate number, so a lost task redraws the same weights.  A task multiplies the
+    weights of a batch with its moments and hands on one row per (group, replicate).
     """
     both = cut(
-        df.select(group, entity, x, y)
-        .filter(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()))
+        df.select(group, entity, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        .dropna(subset=[group, "x", "y"]))
     limits = small(both.groupBy(group).agg(
-        F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(x).alias("x_mid"),
-        F.avg(y).alias("y_mid")))
+        F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.avg("x").alias("x_mid"),
+        F.avg("y").alias("y_mid")))
     digest = F.md5(F.concat_ws("_", F.col(group).cast("string"), F.col(entity), F.lit(str(seed))))
 
     def part(start: int):
         return F.pmod(F.conv(F.substring(digest, start, 14), 16, 10).cast("long"), F.lit(PRIME))
 
-    draws = (
-        spread(both, entity).join(limits, group)
-        .select(group, (F.col(x) - F.col("x_mid")).alias("dx"),
-                (F.col(y) - F.col("y_mid")).alias("dy"),
-                part(1).alias("a"), part(15).alias("b"))
-        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("u", F.pmod(F.col("a") * F.col("replicate") + F.col("b"), F.lit(PRIME)))
-    )
-    weight = F.lit(0)
-    for step in _poisson_steps():
-        weight = weight + (F.col("u") >= F.lit(math.ceil(step * PRIME))).cast("int")
-    w = F.col("w")
-    moments = (
-        draws.withColumn("w", weight).filter(w > 0)
-        .groupBy(group, "replicate").agg(
-            F.sum(w).alias("n"), F.sum(w * F.col("dx")).alias("sx"),
-            F.sum(w * F.col("dy")).alias("sy"),
-            F.sum(w * F.col("dx") * F.col("dx")).alias("sxx"),
-            F.sum(w * F.col("dx") * F.col("dy")).alias("sxy"))
-    )
-    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"),
-                         F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
-    lines = moments.withColumn("slope", slope).select(
-        group, "slope",
-        ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("base"))
-    step = (F.col("x_max") - F.col("x_min")) / (points - 1)
-    at = (
-        lines.join(limits, group)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.col("x_min") + F.col("point") * step)
-        .withColumn("y", F.col("y_mid") + F.col("base") + F.col("slope") * (F.col("x") - F.col("x_mid")))
-    )
-    # at most `replicates` values per (group, point), so the exact percentile is bounded
+    rows = both.join(limits, group).select(
+        group, (F.col("x") - F.col("x_mid")).alias("dx"), (F.col("y") - F.col("y_mid")).alias("dy"),
+        part(1).alias("a"), part(15).alias("b"))
+    head = B.key_schema(rows, [group])
+    moments = rows.mapInArrow(
+        _replicate_moments(group, replicates),
+        head + "replicate int, n double, sx double, sy double, sxx double, sxy double"
+    ).groupBy(group, "replicate").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "sxy")])
+    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.nullif("n", F.lit(0.0)),
+                         F.col("sxx") - F.col("sx") * F.col("sx") / F.nullif("n", F.lit(0.0)))
+    lines = moments.withColumn("slope", slope).withColumn(
+        "base", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("n")))
     tail = (1 - level) / 2
-    return at.groupBy(group, "point", "x").agg(
-        F.percentile("y", F.array(F.lit(tail), F.lit(1 - tail))).alias("q")
-    ).select(group, "point", "x", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return lines.join(limits, group).select(
+        group, "slope", "base", "x_min", "x_max", "x_mid", "y_mid").groupBy(group).applyInArrow(
+        _band(group, points, [tail, 1 - tail]), head + "point int, x double, low double, high double")

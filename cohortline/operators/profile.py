@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from cohortline.functions.names import numeric_columns
+from cohortline.operators import batches as B
 from cohortline.operators.bounded import cut, small
 from cohortline.operators.counting import top_values
-from cohortline.operators.quantiles import counted_values, large_groups, moments, quantiles
+from cohortline.operators.quantiles import describe, described
 
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -19,13 +24,6 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BooleanType))]
 
 
-def long_numeric(df: DataFrame) -> DataFrame:
-    """(column, value) of every numeric cell, nulls included; integers become doubles."""
-    names = numeric_columns(df)
-    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    return wide.unpivot([], [F.col(f"`{c}`") for c in names], "column", "value")
-
-
 def long_text(df: DataFrame) -> DataFrame:
     """(column, value) of every string and boolean cell, nulls included."""
     names = text_columns(df)
@@ -40,54 +38,74 @@ def _missing_cells(df: DataFrame):
     return total
 
 
+def _fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits of a whole row, nulls included."""
+    cells = [F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns]
+    return [F.xxhash64(*cells).alias("_f1"), F.xxhash64(F.lit("row"), *cells).alias("_f2")]
+
+
+def duplicates(df: DataFrame) -> DataFrame:
+    """Rows that occur more than once, with their counts.
+
+    Rows are counted by fingerprint; whole rows are compared only where a fingerprint occurs again.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(*names, *_fingerprint(df))
+    again = rows.groupBy("_f1", "_f2").agg(F.count("*").alias("_n")).filter("_n > 1").select("_f1", "_f2")
+    return (
+        rows.join(again, ["_f1", "_f2"], "left_semi")
+        .groupBy("_f1", "_f2", *names).agg(F.count("*").alias("n_copies"))
+        .filter(F.col("n_copies") > 1).select(*names, "n_copies"))
+
+
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells, duplicate rows, columns per type.
 
-    Copies of a row combine on the map side; the rest is one sum over distinct rows.
+    Rows meet as fingerprints of 16 bytes; whole rows only where a fingerprint occurs again.
     """
-    distinct = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
     types = [f.dataType for f in df.schema.fields]
     count = {
         "n_numeric": sum(isinstance(t, NumericType) for t in types),
         "n_text": sum(isinstance(t, StringType) for t in types),
         "n_boolean": sum(isinstance(t, BooleanType) for t in types),
     }
-    return distinct.select("_copies", _missing_cells(df).alias("_missing")).agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_columns"),
-        F.coalesce(F.sum(F.col("_copies") * F.col("_missing")), F.lit(0)).alias("n_missing_cells"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicate_rows"),
-        *[F.lit(n).cast("long").alias(name) for name, n in count.items()],
-    )
+    sums = (
+        df.select(*_fingerprint(df), _missing_cells(df).alias("_missing"))
+        .groupBy("_f1", "_f2").agg(F.count("*").alias("_copies"), F.sum("_missing").alias("_missing"))
+        .agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
+             F.coalesce(F.sum("_missing"), F.lit(0)).alias("n_missing_cells"),
+             F.count_if(F.col("_copies") > 1).alias("_again")).first())
+    n = 0
+    if sums["_again"]:
+        n = duplicates(df).agg(F.sum(F.col("n_copies") - 1)).first()[0] or 0
+    row = {"n_rows": sums["n_rows"], "n_columns": len(df.columns),
+           "n_missing_cells": sums["n_missing_cells"], "n_duplicate_rows": n, **count}
+    return df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:
     """One row per numeric column: counts, extremes, moments and exact percentiles.
 
     Skewness and kurtosis carry the usual small-sample correction; the deviation measure is the
-    median absolute deviation.  One pass counts the values of all columns; the rest reads those
-    counts.
+    median absolute deviation.  One pass folds all columns; those with more distinct values than a
+    summary holds are stored and read again, for the ranks inside brackets, their distinct values and
+    their deviations.
     """
-    counts = counted_values(long_numeric(df), ["column"], "value")
-    v = F.col("value")
-    cells = counts.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(v.isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-        F.count(v).alias("n_distinct"),
-        F.count_if(v.isNotNull() & (F.col("n") == 1)).alias("n_unique"),
-        F.coalesce(F.sum(F.when(v == 0, F.col("n"))), F.lit(0)).alias("n_zeros"),
-        F.coalesce(F.sum(F.when(v < 0, F.col("n"))), F.lit(0)).alias("n_negative"))
-    large = large_groups(counts, ["column"], "value")
-    q = small(quantiles(counts, ["column"], "value", list(PERCENTILES), large))
-    deviations = (
-        counts.join(q.select("column", F.col("q")[2].alias("median")), "column")
-        .groupBy("column", F.abs(v - F.col("median")).alias("deviation"))
-        .agg(F.sum("n").alias("n")))
-    # folding at the median can only merge values, so no further column is large
-    mad = quantiles(
-        deviations if large is None else cut(deviations), ["column"], "deviation", [0.5], large
-    ).select("column", F.col("q")[0].alias("mad"))
-    m = F.col("total").cast("double")
+    columns = numeric_columns(df)
+    found, many, rows = described(df, [], columns, list(PERCENTILES))
+    found = small(found)
+    if many:
+        cells = rows.unpivot([], [F.col(f"`{c}`") for c in many], "_column", "value")
+        counted = cells.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("_column", "value").agg(
+            F.count("*").alias("n")).groupBy("_column").agg(
+            F.count("*").alias("_distinct"), F.count_if(F.col("n") == 1).alias("_unique"))
+        middle = {r["_column"]: r["q"][2] for r in found.select("_column", "q").collect()}
+        deviations = rows.select(*[F.abs(F.col(f"`{c}`") - F.lit(middle[c])).alias(c) for c in many])
+        mads = describe(deviations, [], many, [0.5]).select("_column", F.col("q")[0].alias("_mad"))
+        found = found.join(counted, "_column", "left").join(mads, "_column", "left").withColumns({
+            "n_distinct": F.coalesce("n_distinct", "_distinct"),
+            "n_unique": F.coalesce("n_unique", "_unique"), "mad": F.coalesce("mad", "_mad")})
+    m = F.col("n").cast("double")
     spread = F.nullif(F.col("m2"), F.lit(0.0)) / m
     g1 = F.col("m3") / m / F.pow(spread, F.lit(1.5))
     g2 = F.col("m4") / m / (spread * spread) - 3
@@ -96,18 +114,16 @@ def numeric_summary(df: DataFrame) -> DataFrame:
                   / F.nullif((m - 2) * (m - 3), F.lit(0.0)))
     variance = F.when(m > 1, F.col("m2") / F.nullif(m - 1, F.lit(0.0)))
     named = [F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTILES)]
-    return (
-        cells.join(moments(counts, ["column"], "value"), "column", "left")
-        .join(q, "column", "left").join(mad, "column", "left")
-        .select(
-            "column", "n_rows", "n_missing", "n_distinct", "n_unique", "n_zeros", "n_negative",
-            F.col("v_min").alias("min"), F.col("v_max").alias("max"),
-            (F.col("v_max") - F.col("v_min")).alias("range"), "mean", F.col("v_sum").alias("sum"),
-            F.sqrt(variance).alias("sd"), variance.alias("variance"),
-            F.try_divide(F.sqrt(variance), F.col("mean")).alias("cv"),
-            skew.alias("skewness"), kurt.alias("kurtosis"), *named,
-            (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "mad")
-    )
+    return found.select(
+        F.col("_column").alias("column"), "n_rows", (F.col("n_rows") - F.col("n")).alias("n_missing"),
+        F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
+        F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), "n_zeros", "n_negative",
+        F.col("v_min").alias("min"), F.col("v_max").alias("max"),
+        (F.col("v_max") - F.col("v_min")).alias("range"), "mean", F.col("v_sum").alias("sum"),
+        F.sqrt(variance).alias("sd"), variance.alias("variance"),
+        F.try_divide(F.sqrt(variance), F.col("mean")).alias("cv"),
+        skew.alias("skewness"), kurt.alias("kurtosis"), *named,
+        (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "mad")
 
 
 def text_summary(df: DataFrame) -> DataFrame:
@@ -136,13 +152,39 @@ def top_text_values(df: DataFrame, k: int = 10) -> DataFrame:
         "column", F.col("rank").cast("long").alias("rank"), "value", "n")
 
 
+def _ends(columns: list[str], k: int):
+    """The k least and k greatest distinct values of a task's rows with their counts.
+
+    A value among the k least of all is among the k least of every task that meets it, so the sums
+    over tasks are exact for them.
+    """
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {(c, side): (np.zeros(0), np.zeros(0, np.int64)) for c in columns for side in ("low", "high")}
+        for batch in frames:
+            for c in columns:
+                x = B.doubles(batch, c)
+                values, counts = np.unique(x[~np.isnan(x)], return_counts=True)
+                for side in ("low", "high"):
+                    own = held[c, side]
+                    both, where = np.unique(np.concatenate((own[0], values)), return_inverse=True)
+                    n = np.bincount(where, np.concatenate((own[1], counts)), len(both)).astype(np.int64)
+                    part = slice(None, k) if side == "low" else slice(-k, None)
+                    held[c, side] = both[part], n[part]
+        yield B.record_batch(
+            [(c, side, float(v), int(n)) for (c, side), x in held.items() for v, n in zip(*x)],
+            [pa.field("column", pa.string()), pa.field("side", pa.string()), pa.field("value", pa.float64()),
+             pa.field("n", pa.int64())])
+    return run
+
+
 def extremes(df: DataFrame, k: int = 5) -> DataFrame:
     """The k smallest and k largest distinct values of each numeric column, with counts."""
-    counts = counted_values(
-        long_numeric(df).filter(F.col("value").isNotNull()), ["column"], "value")
-    low = top_values(counts, ["column"], k, "value").withColumn("side", F.lit("low"))
-    high = top_values(counts, ["column"], k, F.desc("value")).withColumn("side", F.lit("high"))
-    return low.unionByName(high).select(
+    columns = numeric_columns(df)
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    counts = rows.mapInArrow(_ends(columns, k), "column string, side string, value double, n long").groupBy(
+        "column", "side", "value").agg(F.sum("n").alias("n"))
+    nearness = F.when(F.col("side") == "low", F.col("value")).otherwise(-F.col("value"))
+    return top_values(counts, ["column", "side"], k, nearness).select(
         "column", "side", F.col("rank").cast("long").alias("rank"), "value", "n")
 
 
@@ -191,10 +233,3 @@ def co_missing(df: DataFrame) -> DataFrame:
     return pairs.join(one, "column_1").join(two, "column_2").select(
         "column_1", "column_2", "n_both",
         F.try_divide(F.col("n_both") / F.col("n_rows") - p1 * p2, spread).alias("nullity_correlation"))
-
-
-def duplicates(df: DataFrame) -> DataFrame:
-    """Rows that occur more than once, with their counts."""
-    return (
-        df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("n_copies"))
-        .filter(F.col("n_copies") > 1))

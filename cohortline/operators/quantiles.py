@@ -1,150 +1,315 @@
-"""Exact quantiles per group for groups of any size."""
+"""Counts, moments and exact quantiles per group, in one pass and a narrow second one.
+
+Each task folds its rows into one state per (group, column): counts, central moments and a summary of
+the sorted values. A summary is a list of (value, weight) points. It holds every distinct value with its
+count as long as there are few; beyond `POINTS` of them, neighbours are merged into blocks, and the
+number of values that a block may hide is added to the summary's error. Summaries merge by merging
+their points, errors add up. So the rank of every point is known within the error, and every wanted
+quantile is either known or bracketed between two points. One pass over the rows inside the brackets
+then settles the open ones exactly; it holds distinct values of the brackets only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import itertools
+import operator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortline.operators.bounded import cut, small
+from cohortline.operators import batches as B
+from cohortline.operators.bounded import cut
 
-# distinct values one percentile buffer may hold, about 100 bytes each
-MAX_DISTINCT = 500_000
-BINS = 4096
+#: Points of a summary: the error of one merging is the number of values divided by this.
+POINTS = 4_096
+_COUNTS = ["n_rows", "n_zeros", "n_negative"]
+_MOMENTS = ["mean", "m2", "m3", "m4"]
+_STATE = [("_column", pa.string(), "string"), *((k, pa.int64(), "bigint") for k in _COUNTS),
+          ("n", pa.int64(), "bigint"), *((k, pa.float64(), "double") for k in _MOMENTS),
+          ("v_sum", pa.float64(), "double"), ("v_min", pa.float64(), "double"),
+          ("v_max", pa.float64(), "double"), ("values", pa.list_(pa.float64()), "array<double>"),
+          ("weights", pa.list_(pa.int64()), "array<bigint>"), ("error", pa.int64(), "bigint")]
+_RANKS = pa.list_(pa.struct([
+    ("fraction", pa.float64()), ("low_rank", pa.int64()), ("high_rank", pa.int64()),
+    ("low", pa.float64()), ("high", pa.float64())]))
+_RANKS_SQL = "array<struct<fraction:double,low_rank:bigint,high_rank:bigint,low:double,high:double>>"
+_OPEN = pa.list_(pa.struct([("above", pa.float64()), ("upto", pa.float64())]))
+_FOUND = [*_STATE[:-3], ("n_distinct", pa.int64(), "bigint"), ("n_unique", pa.int64(), "bigint"),
+          ("mad", pa.float64(), "double"), ("ranks", _RANKS, _RANKS_SQL),
+          ("open", _OPEN, "array<struct<above:double,upto:double>>")]
+STATISTICS = [name for name, *_ in _FOUND if name not in ("_column", "ranks", "open")]
 
 
-def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct values per group with their counts; nulls count as a value, NaN as null.
+class Summary:
+    """Sorted distinct points with weights, and the number of values that ranks may be off by."""
 
-    Checkpointed, as every user reads it several times.  Equal values combine on the map side.
-    """
-    return cut(
-        df.select(*groups, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias(value))
-        .groupBy(*groups, value).agg(F.count("*").alias("n"))
-    )
-
-
-def moments(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Total, extremes, sum, mean and the central sums of powers 2 to 4 of each group."""
-    v, n = F.col(value), F.col("n")
-    known = counts.filter(v.isNotNull())
-    first = small(known.groupBy(*groups).agg(
-        F.sum("n").alias("total"), F.min(v).alias("v_min"), F.max(v).alias("v_max"),
-        F.sum(n * v).alias("v_sum"),
-        (F.sum(n * v) / F.sum("n")).alias("mean")))
-    d = v - F.col("mean")
-    carried = ["total", "v_min", "v_max", "v_sum", "mean"]
-    return known.join(first, groups).groupBy(*groups, *carried).agg(
-        F.sum(n * d * d).alias("m2"), F.sum(n * d * d * d).alias("m3"),
-        F.sum(n * d * d * d * d).alias("m4"))
-
-
-def large_groups(counts: DataFrame, groups: list[str], value: str,
-                 max_distinct: int = MAX_DISTINCT) -> DataFrame | None:
-    """Groups with more than ``max_distinct`` distinct known values, or None if there are none."""
-    large = small(
-        counts.filter(F.col(value).isNotNull())
-        .groupBy(*groups).agg(F.count("*").alias("n_distinct"))
-        .filter(F.col("n_distinct") > max_distinct).select(*groups))
-    return None if large.isEmpty() else large
-
-
-def quantiles(counts: DataFrame, groups: list[str], value: str, probabilities: list[float],
-              large: DataFrame | None) -> DataFrame:
-    """Linearly interpolated quantiles of the known counted values, as an array column ``q``.
-
-    Groups outside ``large`` use Spark's exact percentile, whose buffer holds the distinct values
-    of a group.  Those inside go through ``_by_narrowing``, which never gathers a group and reads
-    ``counts`` several times.
-    """
-    counts = counts.filter(F.col(value).isNotNull())
-    light = counts if large is None else _match(counts, large, groups, "left_anti")
-    p = F.lit([float(x) for x in probabilities])
-    result = light.groupBy(*groups).agg(F.percentile(value, p, F.col("n")).alias("q"))
-    if large is None:
-        return result
-    heavy = _by_narrowing(_match(counts, large, groups, "left_semi"), groups, value, probabilities)
-    return result.unionByName(heavy)
-
-
-def _match(left: DataFrame, right: DataFrame, groups: list[str], how: str) -> DataFrame:
-    renamed = right.select(*[F.col(g).alias(f"_r_{g}") for g in groups])
-    condition = F.lit(True)
-    for g in groups:
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
-    return left.join(renamed, condition, how)
-
-
-def _by_narrowing(counts: DataFrame, groups: list[str], value: str,
-                  probabilities: list[float]) -> DataFrame:
-    """Find the values at the wanted ranks by counting values in ever narrower ranges.
-
-    Each round splits a rank's current range [low, high] into equal bins, sums the counts per
-    bin (map-side combined) and keeps the bin the rank falls into.  Infinities have bins of their
-    own and the finite ends of a range always land in different bins, so a range shrinks every
-    round until it is one value.
+    def __init__(self, values: np.ndarray, weights: np.ndarray, error: int = 0):
+        self.values, self.weights, self.error = values, weights, error
+
+    @classmethod
+    def merged(cls, parts: list[Summary], points: int = POINTS) -> Summary:
+        values = np.concatenate([p.values for p in parts])
+        weights = np.concatenate([p.weights for p in parts])
+        order = np.argsort(values, kind="stable")
+        values, weights = values[order], weights[order]
+        first = np.ones(len(values), bool)
+        first[1:] = values[1:] != values[:-1]
+        starts = np.flatnonzero(first)
+        error = sum(p.error for p in parts)
+        if not len(starts):
+            return cls(values, weights, error)
+        return cls(values[starts], np.add.reduceat(weights, starts), error).within(points)
+
+    def within(self, points: int) -> Summary:
+        """Blocks of neighbours instead, named after their last point, if there are more points.
+
+        A block ends with the first point that fills it, so a value with many copies hides nothing.
+        """
+        if len(self.values) <= points:
+            return self
+        before = np.cumsum(self.weights) - self.weights
+        block = before * points // int(self.weights.sum())
+        ends = np.append(np.flatnonzero(np.diff(block)), len(block) - 1)
+        weights = np.add.reduceat(self.weights, np.append(0, ends[:-1] + 1))
+        hidden = int((weights - self.weights[ends]).max())
+        return Summary(self.values[ends], weights, self.error + hidden)
+
+    def bracket(self, rank: int) -> tuple[float | None, float]:
+        """(above, upto]: the value of this rank (from 0) lies there, None: no bound; (v, v) if it is v."""
+        upto = np.cumsum(self.weights)
+        k = int(np.searchsorted(upto, rank + 1))
+        if not self.error:
+            return float(self.values[k]), float(self.values[k])
+        below = int(np.searchsorted(upto, rank - self.error, side="right")) - 1
+        return (float(self.values[below]) if below >= 0 else None), float(self.values[k])
+
+
+class _Tower:
+    """Summaries of a stream of parts; two of one level merge into the next, so errors grow slowly."""
+
+    def __init__(self):
+        self.levels: dict[int, Summary] = {}
+
+    def add(self, part: Summary) -> None:
+        level = 0
+        while level in self.levels:
+            part = Summary.merged([self.levels.pop(level), part])
+            level += 1
+        self.levels[level] = part
+
+    def whole(self) -> Summary:
+        none = Summary(np.zeros(0), np.zeros(0, np.int64))
+        return Summary.merged([none, *(self.levels[k] for k in sorted(self.levels))])
+
+
+class _State:
+    def __init__(self):
+        self.tower = _Tower()
+        self.counts = np.zeros(3, np.int64)
+        self.n, self.numbers = 0, (0.0,) * len(_MOMENTS)
+        self.sum, self.low, self.high = 0.0, float("inf"), float("-inf")
+
+    def add(self, counts, n: int, mean: float, m2: float, m3: float, m4: float, total: float,
+            low: float, high: float) -> None:
+        """Add the counts and central sums of further values (pairwise merging)."""
+        self.counts += counts
+        if not n:
+            return
+        self.sum, self.low, self.high = self.sum + total, min(self.low, low), max(self.high, high)
+        if not self.n:
+            self.n, self.numbers = n, (mean, m2, m3, m4)
+            return
+        a, b, (own, own2, own3, own4) = self.n, n, self.numbers
+        both = a + b
+        with np.errstate(all="ignore"):  # infinite values have no moments
+            d = np.float64(mean) - own
+            self.numbers = tuple(float(x) for x in (
+                own + d * b / both,
+                own2 + m2 + d * d * a * b / both,
+                own3 + m3 + d**3 * a * b * (a - b) / both**2 + 3 * d * (a * m2 - b * own2) / both,
+                own4 + m4 + d**4 * a * b * (a * a - a * b + b * b) / both**3
+                + 6 * d * d * (a * a * m2 + b * b * own2) / both**2 + 4 * d * (a * m3 - b * own3) / both))
+        self.n = both
+
+    def figures(self) -> tuple:
+        return *self.counts.tolist(), self.n, *self.numbers, self.sum, self.low, self.high
+
+    def row(self, key: tuple, column: str) -> tuple:
+        s = self.tower.whole()
+        return *key, column, *self.figures(), s.values.tolist(), s.weights.tolist(), s.error
+
+
+def _fold(groups: list[str], columns: list[str]):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _State] = {}
+        fields = None
+        for batch in frames:
+            fields = fields or [*B.key_fields(batch, groups), *(pa.field(k, t) for k, t, _ in _STATE)]
+            values = {c: B.doubles(batch, c) for c in columns}
+            for key, rows in B.group_slices(batch, groups):
+                for c in columns:
+                    own = values[c][rows]
+                    known = own[~np.isnan(own)]
+                    state = held.setdefault((key, c), _State())
+                    counts = len(own), (known == 0).sum(), (known < 0).sum()
+                    if not len(known):
+                        state.add(counts, 0, *(0.0,) * 7)
+                        continue
+                    part = Summary(*np.unique(known, return_counts=True))
+                    with np.errstate(all="ignore"):
+                        mean = known.mean()
+                        sums = [((part.values - mean)**k * part.weights).sum() for k in (2, 3, 4)]
+                        state.add(counts, len(known), *map(float, (
+                            mean, *sums, known.sum(), part.values[0], part.values[-1])))
+                    state.tower.add(part)
+            if len(held) > B.HELD:
+                yield B.record_batch([s.row(*k) for k, s in held.items()], fields)
+                held = {}
+        if held:
+            yield B.record_batch([s.row(*k) for k, s in held.items()], fields)
+    return run
+
+
+def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    whole = Summary(values[order], weights[order])
+    n = int(weights.sum())
+    return (whole.bracket((n - 1) // 2)[0] + whole.bracket(n // 2)[0]) / 2
+
+
+def _settle(groups: list[str], probabilities: list[float]):
+    """One row per (group, column) from its states, which come together."""
+    def finished(key: tuple, column: str, state: _State) -> tuple:
+        whole, n = state.tower.whole(), state.n
+        ranks, brackets, exact = [], [], not whole.error
+        for p in probabilities if n else ():
+            at = p * (n - 1)
+            low_rank, high_rank = int(np.floor(at)), int(np.ceil(at))
+            low, high = whole.bracket(low_rank), whole.bracket(high_rank)
+            brackets += [low, high]
+            ranks.append((at - low_rank, low_rank, high_rank, *((low[1], high[1]) if exact else (None, None))))
+        open_: list[list[float]] = []
+        for above, upto in [] if exact else sorted(brackets, key=lambda b: (b[0] is not None, b[0] or 0.0, b[1])):
+            if open_ and (above is None or above < open_[-1][1]):
+                open_[-1][1] = max(open_[-1][1], upto)
+            else:
+                open_.append([above, upto])
+        mad = None
+        if exact and n:
+            with np.errstate(all="ignore"):
+                middle = (whole.bracket((n - 1) // 2)[0] + whole.bracket(n // 2)[0]) / 2
+                mad = _weighted_median(np.abs(whole.values - middle), whole.weights)
+        figures = state.figures() if n else (*state.counts.tolist(), 0, *(None,) * 7)
+        return (*key, column, *figures, len(whole.values) if exact else None, int((whole.weights == 1).sum()) if exact else None, mad,
+                [dict(zip(("fraction", "low_rank", "high_rank", "low", "high"), r)) for r in ranks],
+                [{"above": a, "upto": b} for a, b in open_])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, names = [], [*groups, *(k for k, *_ in _STATE)]
+
+        def rows() -> Iterator[tuple]:
+            for batch in frames:
+                fields[:] = [*B.key_fields(batch, groups), *(pa.field(k, t) for k, t, _ in _FOUND)]
+                for i in range(batch.num_rows):
+                    yield tuple(batch.column(k)[i] for k in names)
+
+        out, g = [], len(groups)
+        for key, parts in itertools.groupby(rows(), key=lambda r: tuple(x.as_py() for x in r[: g + 1])):
+            state = _State()
+            for part in parts:
+                *numbers, values, weights, error = part[g + 1:]
+                counts, (n, *moments) = [x.as_py() for x in numbers[:3]], [x.as_py() for x in numbers[3:]]
+                state.add(counts, n, *moments)
+                state.tower.add(Summary(values.values.to_numpy(), weights.values.to_numpy(), error.as_py()))
+            out.append(finished(key[:-1], key[-1], state))
+            if len(out) >= B.HELD:
+                yield B.record_batch(out, fields)
+                out = []
+        if out:
+            yield B.record_batch(out, fields)
+    return run
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    """Equality of the named columns with those numbered behind a prefix; nulls are equal."""
+    return functools.reduce(operator.and_, (
+        F.col(f"`{k}`").eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(names)))
+
+
+def _inside(df: DataFrame, groups: list[str], columns: list[str], found: DataFrame) -> DataFrame:
+    """(groups, _column, rank, value) of all ranks that lie in open brackets, from the rows inside."""
+    keys = [*groups, "_column"]
+    cells = df.unpivot([F.col(f"`{g}`") for g in groups], [F.col(f"`{c}`") for c in columns], "_column", "_value")
+    wanted = found.filter(F.size("open") > 0).select(
+        *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], "open",
+        F.array_distinct(F.concat("ranks.low_rank", "ranks.high_rank")).alias("wanted"))
+    v = F.nanvl("_value", F.lit(None).cast("double"))
+    passed = F.size(F.filter("open", lambda b: b["upto"] < F.col("_value")))
+    bracket = F.get("open", passed)
+    here = bracket.isNotNull() & (bracket["above"].isNull() | (bracket["above"] < F.col("_value")))
+    counted = (
+        cells.withColumn("_value", v).filter("_value is not null").join(wanted, _same(keys, "_k"))
+        .withColumns({"cell": passed * 2 + here.cast("int"),
+                      "kept": F.when(here, F.col("_value"))})
+        .groupBy(*[F.col(f"`{k}`") for k in keys], "wanted", "cell", "kept").agg(F.count("*").alias("c")))
+    so_far = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy("cell", "kept").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("c").over(so_far)
+    return counted.withColumn("upto", upto).select(
+        *[F.col(f"`{k}`") for k in keys], "kept", F.explode(F.filter(
+            "wanted", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))).alias("rank"))
+
+
+def described(df: DataFrame, groups: list[str], columns: list[str], probabilities: list[float],
+              ) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """The frame of `describe`, the columns with open brackets, and their rows, stored."""
+    rows = df.select(*groups, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    head = B.key_schema(df, groups)
+    names = [*groups, "_column"]
+    keys = [F.col(f"`{k}`") for k in names]
+    parts = rows.mapInArrow(_fold(groups, columns), head + ", ".join(f"{k} {s}" for k, _, s in _STATE))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(parts.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(
+        _settle(groups, probabilities), head + ", ".join(f"{k} {s}" for k, _, s in _FOUND)))
+    # at most one name per column of df
+    open_ = sorted(r[0] for r in found.filter(F.size("open") > 0).select("_column").distinct().collect())
+    again = None
+    if not open_:
+        whole = found.withColumn("_known", F.lit(None).cast("map<bigint,double>"))
+    else:
+        again = cut(rows.select(*groups, *[F.col(f"`{c}`") for c in open_]))
+        settled = _inside(again, groups, open_, found).groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("rank", "kept"))).alias("_known"))
+        settled = settled.withColumnsRenamed({k: f"_s{i}" for i, k in enumerate(names)})
+        whole = found.join(settled, _same(names, "_s"), "left")
+
+    def value(r, side: str):
+        return F.coalesce(r[side], F.try_element_at("_known", r[f"{side}_rank"]))
+
+    def between(r):
+        low, high = value(r, "low"), value(r, "high")
+        return F.when(low == high, low).otherwise(low + (high - low) * r["fraction"])
+
+    q = F.when(F.col("n") > 0, F.transform("ranks", between))
+    return whole.select(*keys, *STATISTICS, q.alias("q")), open_, again
+
+
+def describe(df: DataFrame, groups: list[str], columns: list[str],
+             probabilities: list[float]) -> DataFrame:
+    """(groups, _column, STATISTICS, q) for every group and numeric column, NaN counting as null.
+
+    q: linearly interpolated quantiles, exact; null without known values. n_distinct, n_unique and mad
+    (median absolute deviation) are null where a column has more than POINTS distinct values in a
+    group. df is read once, and once more in its columns with open brackets.
     """
-    infinity = float("inf")
-    finite = F.when(F.abs(value) < infinity, F.col(value))
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-        for i, p in enumerate(probabilities)])
-    keys = [*groups, "i", "side"]
-    extent = counts.groupBy(*groups).agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.min(finite).alias("f_low"),
-        F.max(finite).alias("f_high"), F.sum("n").alias("total"))
-    position = F.col("r.p") * (F.col("total") - 1)
-    sides = F.array(
-        F.struct(F.lit("floor").alias("side"), F.floor("position").alias("rank")),
-        F.struct(F.lit("ceil").alias("side"), F.ceil("position").alias("rank")))
-    targets = small(
-        extent.withColumn("r", F.explode(ranks))
-        .withColumn("position", position)
-        .withColumn("s", F.explode(sides))
-        .select(*groups, F.col("r.i").alias("i"), F.col("s.side").alias("side"),
-                F.col("s.rank").alias("rank"), "position", "low", "high", "f_low", "f_high",
-                F.lit(0).cast("long").alias("below"))
-    )
-    while not targets.filter(F.col("low") < F.col("high")).isEmpty():
-        open_ranges = targets.filter(F.col("low") < F.col("high"))
-        v, low, high = F.col(value), F.col("f_low"), F.col("f_high")
-        # the width of a range may itself be beyond the largest double: halves never are
-        part = F.when(high - low < infinity, F.try_divide(v - low, high - low)).otherwise(
-            F.try_divide(v / 2 - low / 2, high / 2 - low / 2))
-        bin_of = (F.when(v == -infinity, -1).when(v == infinity, BINS)
-                  .otherwise(F.coalesce(F.least(F.floor(part * BINS), F.lit(BINS - 1)), F.lit(0)))
-                  .cast("int"))
-        per_bin = (
-            _join_ranges(counts, open_ranges, groups)
-            .filter((F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
-            .groupBy(*keys, "rank", "position", "below", bin_of.alias("bin"))
-            .agg(F.sum("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
-                 F.min(finite).alias("f_low"), F.max(finite).alias("f_high"))
-        )
-        so_far = Window.partitionBy(*keys).orderBy("bin").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        upto = F.col("below") + F.sum("n").over(so_far)
-        narrowed = (
-            per_bin.withColumn("upto", upto)
-            .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-            .select(*keys, "rank", "position", "low", "high", "f_low", "f_high",
-                    (F.col("upto") - F.col("n")).alias("below"))
-        )
-        done = targets.filter(F.col("low") >= F.col("high"))
-        targets = small(done.unionByName(narrowed))
-    floor_value = F.max(F.when(F.col("side") == "floor", F.col("low")))
-    ceil_value = F.max(F.when(F.col("side") == "ceil", F.col("low")))
-    fraction = F.max(F.col("position") - F.floor("position"))
-    per_probability = targets.groupBy(*groups, "i").agg(
-        F.when(floor_value == ceil_value, floor_value)
-        .otherwise(floor_value + (ceil_value - floor_value) * fraction).alias("v"))
-    return per_probability.groupBy(*groups).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
-
-
-def _join_ranges(counts, ranges, groups):
-    renamed = ranges
-    condition = F.lit(True)
-    for g in groups:
-        renamed = renamed.withColumnRenamed(g, f"_r_{g}")
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
-    return counts.join(renamed, condition).drop(*[f"_r_{g}" for g in groups])
+    return described(df, groups, columns, probabilities)[0]
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """(groups, q): linearly interpolated quantiles of the known values of each group, exact."""
+    return describe(df, groups, [value], probabilities).filter("n > 0").select(
+        *[F.col(f"`{g}`") for g in groups], "q")

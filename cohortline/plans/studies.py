@@ -65,7 +65,7 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
         "text": profile.text_summary(df),
         "top_values": profile.top_text_values(df),
         "extremes": profile.extremes(df),
-        "histograms": distribution.histogram(profile.long_numeric(df), "value", "column"),
+        "histograms": distribution.column_histograms(df, numeric_columns(df)),
         "correlations": correlation.correlation_matrix(df, numeric_columns(df)),
         "missing": profile.missingness(df),
         "co_missing": profile.co_missing(df),

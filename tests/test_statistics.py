@@ -2,14 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import _make_chi2_tail, _make_f_tail
-from cohortline.operators import correlation, distribution, inference
-from cohortline.operators.quantiles import counted_values, large_groups, quantiles
+from cohortline.operators import correlation, distribution, inference, profile
+from cohortline.operators.quantiles import Summary, describe, quantiles
 
 
 def test_constant_column_has_no_correlation(spark):
@@ -152,41 +153,77 @@ def test_band_covers_the_trend(spark):
 
 def test_quartiles(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 10.0)], "g string, v double")
-    counts = counted_values(df, ["g"], "v")
-    assert quantiles(counts, ["g"], "v", [0.25, 0.5, 0.75], None).first()["q"] == [1.75, 2.5, 4.75]
+    assert quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).first()["q"] == [1.75, 2.5, 4.75]
 
 
-@pytest.mark.parametrize("kind", ["uniform", "outliers", "copies"])
-def test_large_groups_are_narrowed_exactly(spark, kind):
+DRAWS = {
+    "uniform": lambda rng: rng.uniform(-5, 5),
+    # nearly all values close together, a few far off
+    "outliers": lambda rng: 1e12 if rng.random() < 0.001 else rng.gauss(0, 1e-6),
+    "copies": lambda rng: float(rng.choice([1, 1, 1, 1, rng.randint(0, 400)])),
+    "half copies": lambda rng: 2.5 if rng.random() < 0.5 else rng.gauss(2.5, 1),
+}
+
+
+@pytest.mark.parametrize("kind", DRAWS)
+def test_quantiles_of_many_values(spark, kind):
+    """More distinct values than a summary holds: ranks are bracketed, then settled exactly."""
     rng = random.Random(kind)
-    draw = {
-        "uniform": lambda: rng.uniform(-5, 5),
-        # nearly all values within one bin of the first round
-        "outliers": lambda: 1e12 if rng.random() < 0.001 else rng.gauss(0, 1e-6),
-        "copies": lambda: float(rng.choice([1, 1, 1, 1, rng.randint(0, 400)])),
-    }[kind]
-    big = [("big", draw()) for _ in range(20_000)]
-    rows = big + [("small", float(i)) for i in range(7)] + [(None, 3.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
+    big = [("big", DRAWS[kind](rng)) for _ in range(60_000)]
+    rows = big + [("small", float(i)) for i in range(7)] + [(None, 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    counts = counted_values(df, ["g"], "v")
-    large = large_groups(counts, ["g"], "v", max_distinct=50)
-    assert [r["g"] for r in large.collect()] == ["big"]
-    got = {r["g"]: r["q"] for r in quantiles(counts, ["g"], "v", probabilities, large).collect()}
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], "v", probabilities).collect()}
     assert got["big"] == pytest.approx(np.quantile([v for _, v in big], probabilities), rel=1e-12)
     assert got["small"] == pytest.approx(np.quantile(range(7), probabilities))
-    assert got[None] == [3.0] * 7
+    assert got[None] == [3.0] * 7 and "none" not in got
+
+
+@pytest.mark.parametrize("kind", DRAWS)
+def test_summary_brackets_every_rank(kind):
+    rng = random.Random(kind)
+    values = np.array([DRAWS[kind](rng) for _ in range(30_000)])
+    parts = [Summary(*np.unique(part, return_counts=True)).within(60) for part in np.array_split(values, 9)]
+    whole = Summary.merged([Summary.merged(parts[:5], 60), Summary.merged(parts[5:], 60)], 60)
+    assert len(whole.values) <= 61 and whole.weights.sum() == len(values)
+    ordered = np.sort(values)
+    for rank in [0, 1, *rng.sample(range(30_000), 300), 29_999]:
+        above, upto = whole.bracket(rank)
+        assert (above is None or above < ordered[rank] or above == upto) and ordered[rank] <= upto
+    if whole.error:
+        for bracket in map(whole.bracket, range(0, 30_000, 500)):
+            low = -np.inf if bracket[0] is None else bracket[0]
+            counts = np.unique(ordered[(ordered > low) & (ordered < bracket[1])], return_counts=True)[1]
+            # but for one value with many copies, which is one row when counted
+            assert counts.sum() - counts.max(initial=0) <= 2 * whole.error + len(values) / 60
 
 
 def test_infinities_and_nan_end(spark):
     rng = random.Random(3)
-    finite = [rng.uniform(-1e308, 1e308) for _ in range(300)]
-    rows = [("g", v) for v in [*finite, float("inf"), float("inf"), float("-inf"), float("nan"), None]]
-    counts = counted_values(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
-    large = large_groups(counts, ["g"], "v", max_distinct=10)
-    got = quantiles(counts, ["g"], "v", [0.0, 0.5, 1.0], large).first()["q"]
-    ordered = sorted([*finite, float("inf"), float("inf"), float("-inf")])
-    assert got == [float("-inf"), pytest.approx(ordered[151]), float("inf")]
+    finite = [rng.uniform(-1e308, 1e308) for _ in range(9_000)]
+    rows = [("g", v) for v in [*finite, *[float("inf")] * 2, *[float("-inf")] * 3, float("nan"), None]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ordered = sorted([*finite, *[float("inf")] * 2, *[float("-inf")] * 3])
+    got = quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).first()["q"]
+    assert got == [float("-inf"), ordered[4502], float("inf")]
+    row = describe(df, ["g"], ["v"], [0.5]).first()
+    assert (row["n_rows"], row["n"], row["v_min"], row["v_max"]) == (9007, 9005, float("-inf"), float("inf"))
+
+
+def test_moments_of_all_tasks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.gauss(1e6, 3), rng.choice([0.0, -1.0, None, float("nan"), 2.0])) for _ in range(5_000)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(7)
+    for r in describe(df, ["g"], ["v", "w"], [0.1, 0.5]).collect():
+        at = 1 if r["_column"] == "v" else 2
+        x = np.array([row[at] for row in rows if row[0] == r["g"] and row[at] is not None and row[at] == row[at]])
+        d = x - x.mean()
+        assert [r[k] for k in ("mean", "m2", "m3", "m4")] == [
+            pytest.approx(v, rel=1e-7, abs=1e-4) for v in (x.mean(), (d**2).sum(), (d**3).sum(), (d**4).sum())]
+        assert (r["n"], r["n_zeros"], r["n_negative"]) == (len(x), (x == 0).sum(), (x < 0).sum())
+        assert r["n_distinct"] == len(set(x)) and r["n_unique"] == sum(1 for v in set(x) if (x == v).sum() == 1)
+        assert r["mad"] == pytest.approx(np.median(np.abs(x - np.median(x)))) and r["q"] == pytest.approx(
+            np.quantile(x, [0.1, 0.5]))
 
 
 def test_nan_is_no_correlation(spark):
@@ -248,6 +285,52 @@ def test_melt_takes_what_exists(spark):
         distribution.melt_backlog(df, ["absent"])
 
 
+def test_column_histograms_equal_numpy(spark):
+    rng = random.Random(6)
+    rows = [(round(rng.uniform(0, 10), 1), rng.choice([None, 7]), None) for _ in range(3_000)]
+    df = spark.createDataFrame(rows, "a double, b int, c double").repartition(4)
+    got = distribution.column_histograms(df, ["a", "b", "c"]).orderBy("column", "bin").collect()
+    assert [r["n"] for r in got if r["column"] == "a"] == np.histogram([r[0] for r in rows], bins=20)[0].tolist()
+    flat = {r["bin"]: (r["low"], r["n"]) for r in got if r["column"] == "b"}
+    assert flat[11] == (7.0, sum(r[1] == 7 for r in rows)) and len(got) == 40
+
+
+def test_infinite_value_is_no_correlation_of_its_pairs(spark):
+    rows = [(1.0, 2.0, 1.0), (2.0, 5.0, 4.0), (float("inf"), 3.0, None), (3.0, 9.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in correlation.correlation_matrix(df).collect()}
+    assert got["a", "b"] is None
+    assert got["a", "c"] == pytest.approx(np.corrcoef([1, 2, 3], [1, 4, 2])[0, 1])
+    assert got["b", "c"] == pytest.approx(np.corrcoef([2, 5, 9], [1, 4, 2])[0, 1])
+
+
+def test_constant_column_over_many_tasks(spark):
+    df = spark.createDataFrame([(0.1, float(i % 7)) for i in range(1_000)], "a double, b double").repartition(9)
+    got = {(r[0], r[1]): r[2] for r in correlation.correlation_matrix(df).collect()}
+    assert got["a", "b"] is None and got["a", "a"] is None and got["b", "b"] == pytest.approx(1)
+
+
+def test_extremes_count_over_tasks(spark):
+    rng = random.Random(7)
+    rows = [(float(rng.randrange(40)), rng.choice([None, 1, 2])) for _ in range(2_000)]
+    df = spark.createDataFrame(rows, "a double, b int").repartition(6)
+    counts = Counter(r[0] for r in rows)
+    got = {(r["column"], r["side"], r["rank"]): (r["value"], r["n"]) for r in profile.extremes(df, 3).collect()}
+    assert [got["a", "low", k] for k in (1, 2, 3)] == sorted(counts.items())[:3]
+    assert [got["a", "high", k] for k in (1, 2, 3)] == sorted(counts.items())[::-1][:3]
+    assert ("b", "low", 3) not in got and got["b", "high", 1][0] == 2
+
+
+def test_duplicate_rows_and_overview(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (None, 1, "x"), (1, 2, None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows * 2 + [(9, 9, "y")], "a int, b int, c string")
+    got = {(r["a"], r["b"], r["c"]): r["n_copies"] for r in profile.duplicates(df).collect()}
+    assert got == {k: n for k, n in Counter(rows * 2).items() if n > 1}
+    whole = profile.overview(df).first()
+    assert (whole["n_rows"], whole["n_missing_cells"], whole["n_duplicate_rows"]) == (13, 20, 8)
+    assert profile.overview(df.limit(0)).first()["n_rows"] == 0
+
+
 def test_missing_columns_raise(spark):
     df = spark.createDataFrame([(1, 2.0)], "resultado_final int, v double")
     for call in (lambda: inference.anova(df, "absent", "resultado_final"),

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from unittest import mock
 
 import pandas as pd
@@ -9,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.constants import METRICS, PERIODS
+from cohortline.functions import text
+from cohortline.functions.names import numeric_columns
 from cohortline.operators import history, profile, sampling
 from cohortline.operators.bounded import small
-from cohortline.operators.distribution import histogram
+from cohortline.operators.distribution import column_histograms
 from cohortline.plans import studies
 from cohortline.sources import tables
 from workload import views
@@ -216,6 +219,21 @@ def test_studies_run_end_to_end(spark, folder, tmp_path):
 
 
 def test_histogram_of_a_profile_frame(frame):
-    cells = histogram(profile.long_numeric(frame), "value", "column")
+    cells = column_histograms(frame, numeric_columns(frame))
     totals = dict(rows(cells.groupBy("column").agg(F.sum("n"))))
     assert totals["b"] == 420 and "e" not in totals
+
+
+def test_overlapping_keywords_take_the_least_rule(spark):
+    rules = (("first", "abcd|zz"), ("second", "bc|abc"), ("third", r"x+y$"), ("fourth", "b c|é"))
+    texts = ["xabcx", "abcd", "bcd abcd", "zbcz", "q xxxy", "bc xy", "b c", "café", "none", "", None, "a\nzz", "ab cd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", text.classify("t", rules, "rest").alias("c")).collect()}
+
+    def first(t):
+        return next((name for name, p in rules if t is not None and re.search(p, t)), "rest")
+
+    assert [got[i] for i in range(len(texts))] == [first(t) for t in texts]
+    only = df.select(text.classify("t", (("odd", "^a.c"),)).alias("c")).collect()
+    assert [r["c"] for r in only] == ["odd" if t and re.search("^a.c", t) else "Otra" for t in texts]
+    assert {r["c"] for r in df.select(text.classify("t", ()).alias("c")).collect()} == {"Otra"}

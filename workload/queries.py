@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cohortline.functions.names import numeric_columns
 from cohortline.functions.text import normalize_text
 from cohortline.operators import (
     correlation, counting, distribution, history, inference, profile, sampling, snapshots, taxonomy,
@@ -319,8 +320,7 @@ def kde_by_outcome(spark, folder):
 
 @query
 def box_by_outcome(spark, folder):
-    """Means to 6 decimals first: some lie on a whisker limit, where the last bit would decide."""
-    return rounded(distribution.box_summary(rounded(progress(spark, folder)), GRADE, [OUTCOME]))
+    return rounded(distribution.box_summary(progress(spark, folder), GRADE, [OUTCOME]))
 
 
 @query
@@ -432,8 +432,8 @@ def profile_extremes(spark, folder):
 
 @query
 def profile_histograms(spark, folder):
-    cells = profile.long_numeric(labelled(spark, folder))
-    return distribution.histogram(cells, "value", "column").select("column", "bin", "n")
+    rows = labelled(spark, folder)
+    return distribution.column_histograms(rows, numeric_columns(rows)).select("column", "bin", "n")
 
 
 @query
@@ -452,6 +452,15 @@ def profile_duplicates(spark, folder):
     return rounded(profile.duplicates(rows))
 
 
+@query
+def profile_duplicate_rows(spark, folder):
+    """Whole rows of the history, every seventh subject's grades given twice."""
+    grades = views.grades(spark, folder)
+    again = grades.unionByName(grades.filter("id_materia % 7 = 0"))
+    rows = history.sanitize(history.grade_history(again, views.groups(spark, folder)))
+    return rounded(profile.duplicates(rows))
+
+
 # --- composite jobs ---
 
 def figures(report: str, df: DataFrame, item, value) -> DataFrame:
