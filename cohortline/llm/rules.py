@@ -6,20 +6,25 @@ of log p(target) - log p(raw); one fixed threshold decides every document.
 
 The number of buckets follows the counted n-grams, so that a bucket holds as many at any size of the
 corpus and the threshold keeps its meaning. Nothing of that size reaches the driver or a broadcast:
-1. Documents are packed into chunks, one compressed row each. The distinct buckets of a chunk go,
-   with their counts, to slices of neighbouring buckets.
+1. Documents are dealt to chunks. The distinct buckets of a chunk go, with their counts, to slices of
+   neighbouring buckets.
 2. A slice sums its buckets over all chunks and answers each chunk with the sums it asked about.
-3. Chunks meet their answers in a join and are scored.
+3. Chunks, one compressed row each, meet their answers in a join and are scored.
+
+The occurrence that is being scored is taken out of the counts it stands in: out of raw, and for a
+trusted document out of target as well. So a document does not vouch for itself.
 """
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +37,11 @@ LOAD = 8
 #: Neighbouring buckets that are summed together.
 SLICE = 1 << 19
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Weight of the uniform prior, in counts per bucket.
 PRIOR = 0.5
 #: Scores below this are rejected.
-THRESHOLD = -0.3
+THRESHOLD = -0.5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
@@ -58,10 +63,8 @@ def ngram_buckets(words: np.ndarray, first: np.ndarray, buckets: int) -> tuple[n
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int, buckets: int) -> np.ndarray:
     """log p(target) - log p(raw) of buckets with these counts, out of n_raw and n_target n-grams."""
-    # the occurrence being scored is not held against its text: rare words stay near zero
-    others = np.maximum(raw - 1, 0)
     return (np.log((target + PRIOR) / (n_target + PRIOR * buckets))
-            - np.log((others + PRIOR) / (n_raw + PRIOR * buckets)))
+            - np.log((raw + PRIOR) / (n_raw + PRIOR * buckets)))
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,34 +95,45 @@ def unpack(data: bytes) -> np.ndarray:
         f"<u{width}").ravel().astype(np.int64)
 
 
-def _chunks(chunk_bytes: int):
-    def row(key: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema,
-                               options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in held:
-                out.write_batch(batch)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-            names=["chunk", "docs"])
+def _dealt(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(chunk, its rows): neighbouring rows of a partition, until a chunk is full.
+
+    Chunks depend on the rows alone, not on how they come in batches.
+    """
+    key, held, size = TaskContext.get().partitionId() << 33, [], 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(sizes[begin - 1]) if begin else 0
+            end = int(np.searchsorted(sizes, before + chunk_bytes - size)) + 1
+            held.append(batch.slice(begin, end - begin))
+            if end > batch.num_rows:  # the chunk goes on in the next batch
+                size += int(sizes[-1]) - before
+                break
+            yield key, held
+            key, held, size, begin = key + 1, [], 0, end
+    if held:
+        yield key, held
+
 
+def _chunks(chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size = TaskContext.get().partitionId() << 33, [], 0
-        for batch in batches:
-            for begin, end, data, _ in rolling.text_pieces(batch.column("_text")):
-                held.append(batch.slice(begin, end - begin))
-                size += len(data)
-                if size >= chunk_bytes:
-                    yield row(key, held)
-                    key, held, size = key + 1, [], 0
-        if held:
-            yield row(key, held)
+        for key, held in _dealt(batches, chunk_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema,
+                                   options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["chunk", "docs"])
     return run
 
 
-def _pieces(docs: bytes, buckets: int) -> Iterator[tuple]:
+def _pieces(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
     """(rows, bytes, bounds, word starts, word ends, first words, words, buckets, document of each)."""
-    for batch in pa.ipc.open_stream(docs):
+    for batch in batches:
         for row, end, data, bounds in rolling.text_pieces(batch.column("_text")):
             starts, ends, first = rolling.words_of(data, bounds)
             words = rolling.word_hashes(data, starts, ends)
@@ -127,29 +141,31 @@ def _pieces(docs: bytes, buckets: int) -> Iterator[tuple]:
                    *ngram_buckets(words, first, buckets))
 
 
-def _asked(buckets: int, slice_size: int):
+def _trusted(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column("_trusted").to_numpy(zero_copy_only=False)
+
+
+def _asked(buckets: int, slice_size: int, chunk_bytes: int):
     """Distinct buckets of each chunk with their counts, one row per slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, docs in zip(batch.column("chunk").to_pylist(), batch.column("docs")):
-                marked = [np.zeros(0, np.int64)]
-                for rows, *_, bucket, doc in _pieces(docs.as_py(), buckets):
-                    trusted = np.asarray(rows.column("_trusted").to_pylist(), bool)
-                    marked.append(2 * bucket + trusted[doc])
-                key = np.sort(np.concatenate(marked))
-                start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
-                if not len(start):
-                    continue
-                place, raw = key[start] >> 1, np.diff(np.append(start, len(key)))
-                target = np.add.reduceat(key & 1, start)
-                cut = np.append(np.flatnonzero(np.diff(place // slice_size, prepend=-1)), len(place))
-                parts = list(zip(cut[:-1], cut[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(parts)), pa.array(place[cut[:-1]] // slice_size),
-                     pa.array([pack(np.diff(place[a:b] % slice_size, prepend=0)) for a, b in parts]),
-                     pa.array([pack(raw[a:b]) for a, b in parts]),
-                     pa.array([pack(target[a:b]) for a, b in parts])],
-                    names=["chunk", "slice", "steps", "raw", "target"])
+        for chunk, held in _dealt(batches, chunk_bytes):
+            marked = [np.zeros(0, np.int64)]
+            for rows, *_, bucket, doc in _pieces(held, buckets):
+                marked.append(2 * bucket + _trusted(rows)[doc])
+            key = np.sort(np.concatenate(marked))
+            start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+            if not len(start):
+                continue
+            place, raw = key[start] >> 1, np.diff(np.append(start, len(key)))
+            target = np.add.reduceat(key & 1, start)
+            cut = np.append(np.flatnonzero(np.diff(place // slice_size, prepend=-1)), len(place))
+            parts = list(zip(cut[:-1], cut[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(parts)), pa.array(place[cut[:-1]] // slice_size),
+                 pa.array([pack(np.diff(place[a:b] % slice_size, prepend=0)) for a, b in parts]),
+                 pa.array([pack(raw[a:b]) for a, b in parts]),
+                 pa.array([pack(target[a:b]) for a, b in parts])],
+                names=["chunk", "slice", "steps", "raw", "target"])
     return run
 
 
@@ -213,45 +229,47 @@ def _repeated_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) ->
 
 
 def _ratios(sums: list[dict], place: np.ndarray, n_raw: int, n_target: int, buckets: int) -> np.ndarray:
-    """Log ratio of each of the distinct buckets of a chunk, from the answers of all slices."""
+    """Log ratios of the distinct buckets of a chunk for documents that are not, and that are trusted."""
     sums = sorted(sums or [], key=lambda x: x["slice"])
     raw, target = (np.concatenate([np.zeros(0, np.int64), *(unpack(x[k]) for x in sums)])
                    for k in ("raw", "target"))
     if len(raw) != len(place):  # a task that ran again met other rows
         raise RuntimeError("the documents came in another order when they were read again; store them first")
-    return log_ratio(raw, target, n_raw, n_target, buckets)
+    return np.stack([log_ratio(raw - 1, target, n_raw, n_target, buckets),
+                     log_ratio(raw - 1, np.maximum(target - 1, 0), n_raw, n_target, buckets)])
 
 
 def _judge(n_raw: int, n_target: int, buckets: int, carry: list[str]):
+    def chunk(docs: bytes, sums: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        if n_target:
+            place = np.unique(np.concatenate([p[-2] for p in _pieces(pa.ipc.open_stream(docs), buckets)]))
+            ratio = _ratios(sums.as_py(), place, n_raw, n_target, buckets)
+        for rows, data, bounds, starts, ends, first, words, bucket, doc in _pieces(
+                pa.ipc.open_stream(docs), buckets):
+            n = len(bounds) - 1
+            total = np.zeros(n)
+            if n_target:
+                order = np.argsort(bucket)  # neighbours are found near each other
+                found = np.empty(len(bucket))
+                found[order] = ratio[_trusted(rows)[doc[order]].astype(int), np.searchsorted(place, bucket[order])]
+                total = np.bincount(doc, weights=found, minlength=n)
+            grams = np.bincount(doc, minlength=n)
+            letters = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
+            sizes = letters[ends] - letters[starts]
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(k) for k in carry),
+                 pa.array(np.diff(first).astype(np.int64)), pa.array(_per_doc(sizes, first)),
+                 pa.array(_per_doc(SYMBOL[data], bounds)),
+                 pa.array(_repeated_lines(data, bounds, starts)),
+                 pa.array(_repeated_words(words, first, REPEAT_WINDOW)),
+                 pa.array(np.round(total / np.maximum(grams, 1), 9))],
+                names=[*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, sums in zip(batch.column("docs"), batch.column("sums")):
-                docs = docs.as_py()
-                if n_target:
-                    place = np.sort(np.concatenate([p[-2] for p in _pieces(docs, buckets)]))
-                    place = place[np.diff(place, prepend=-1) > 0]
-                    ratio = _ratios(sums.as_py(), place, n_raw, n_target, buckets)
-                for rows, data, bounds, starts, ends, first, words, bucket, doc in _pieces(docs, buckets):
-                    n = len(bounds) - 1
-                    total = np.zeros(n)
-                    if n_target:
-                        order = np.argsort(bucket)  # neighbours are found near each other
-                        found = np.empty(len(bucket))
-                        found[order] = ratio[np.searchsorted(place, bucket[order])]
-                        total = np.bincount(doc, weights=found, minlength=n)
-                    grams = np.bincount(doc, minlength=n)
-                    letters = np.zeros(len(data) + 1, np.int64)
-                    np.cumsum((data & 0xC0) != 0x80, out=letters[1:])
-                    sizes = letters[ends] - letters[starts]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(rows.column(k) for k in ["_id", *carry]),
-                         pa.array(np.diff(first).astype(np.int64)), pa.array(_per_doc(sizes, first)),
-                         pa.array(_per_doc(SYMBOL[data], bounds)),
-                         pa.array(_repeated_lines(data, bounds, starts)),
-                         pa.array(_repeated_words(words, first, REPEAT_WINDOW)),
-                         pa.array(np.round(total / np.maximum(grams, 1), 9))],
-                        names=["_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                               "n_repeat_words", "score"])
+                yield from chunk(docs.as_py(), sums)
     return run
 
 
@@ -262,7 +280,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept).
 
     trusted: a frame whose first column holds the ids of trusted documents. carry: columns of docs
-    to pass along instead of doc_id, so that a filter needs no join back. load: n-grams per bucket.
+    to pass along instead of doc_id, so that a filter needs no join back; the text, if among them, is
+    held once. load: n-grams per bucket.
 
     Null and empty texts have no words: they fail. Null ids are scored as any row and are never
     trusted. Repeated rows count each time and get equal verdicts. With no trusted text all scores
@@ -273,21 +292,24 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).filter(
         "_id is not null").distinct().withColumn("_trusted", F.lit(True))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *(carry or []),
+    passed = [c for c in carry if c != text_col] if carry else ["_id"]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *(c for c in passed if c != "_id"),
                        F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema)
+    passed = passed + ["_text"] * bool(carry and text_col in carry)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed)
     rows = (rows.join(F.broadcast(ids) if few else ids, "_id", "left")
             .withColumn("_trusted", F.col("_trusted").isNotNull()))
+    if not few:  # rows out of a shuffled join have no fixed order
+        rows = stored(rows, "rows")
     n_raw, n_target, size = (n or 0 for n in (
         rows.select("_text", "_trusted").mapInArrow(_totals, "raw long, target long, size long")
         .agg(F.sum("raw"), F.sum("target"), F.sum("size")).first()))
-    buckets = max(1, -(-n_raw // load))
+    buckets = max(1, math.ceil(n_raw / load))
     packed = rows.mapInArrow(_chunks(chunk_bytes), "chunk long, docs binary")
-    if not few:  # rows out of a shuffled join have no fixed order
-        packed = stored(packed, "chunks")
     if n_target:
-        asked = packed.mapInArrow(_asked(buckets, slice_size),
-                                  "chunk long, slice long, steps binary, raw binary, target binary")
+        asked = rows.select("_text", "_trusted").mapInArrow(
+            _asked(buckets, slice_size, chunk_bytes),
+            "chunk long, slice long, steps binary, raw binary, target binary")
         answers = asked.groupBy("slice").applyInArrow(
             _answered(slice_size), "chunk long, slice long, raw binary, target binary")
         # a task gets few chunks, as each is one row of megabytes
@@ -298,10 +320,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     else:
         packed = packed.withColumn("sums", F.lit(None))
     judged = packed.select("docs", "sums").mapInArrow(
-        _judge(n_raw, n_target, buckets, carry or []),
+        _judge(n_raw, n_target, buckets, passed),
         f"{kinds}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, score double")
-    judged = judged.drop("_id") if carry else judged.withColumnRenamed("_id", "doc_id")
+    judged = judged.withColumnsRenamed({"_text": text_col} if carry else {"_id": "doc_id"})
     return judged.withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).withColumn(

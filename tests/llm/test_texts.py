@@ -1,5 +1,6 @@
 """Token counts, packing, rules, quality, leaks, personal data and secrets."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm import leaks, packing, pii, quality, rolling, rules, secrets, tokens
+from cohortline.llm import leaks, packing, pii, quality, rules, secrets, tokens
 
 from . import brute
 from .conftest import frame, prose
@@ -83,7 +84,7 @@ def test_rules(docs, corpus, spark, nothing):
     assert sorted((tuple(r) for r in got.drop("score", "kept").collect()), key=repr) == sorted(
         brute.rule_counts(corpus), key=repr)
     assert got.filter("kept and base_failed").isEmpty()
-    assert got.filter("not base_failed and kept <> (score >= -0.3)").isEmpty()
+    assert got.filter(f"not base_failed and kept <> (score >= {rules.THRESHOLD})").isEmpty()
     none = rules.quality_rules(docs, trusted.limit(0))
     assert none.filter("score <> 0").isEmpty()
     assert rules.quality_rules(nothing, trusted).collect() == []
@@ -99,35 +100,61 @@ def test_foreign_text_scores_low(spark):
     assert {r.doc_id for r in got.filter("kept").collect()} == {i for i, _ in good}
 
 
-def test_scores_follow_the_counted_ngrams(spark, docs, corpus):
-    trusted = [1, 2, 4, 6, 8]
-    pairs = []
-    for i, t in corpus:
-        words = [w.encode() for w in brute.WORD.findall(t or "")]
-        data, bounds = np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])
-        starts, ends, first = rolling.words_of(data, bounds)
-        pairs.append((i, rolling.word_hashes(data, starts, ends), first))
-    n = sum(max(2 * len(w) - 1, 0) for _, w, _ in pairs)
-    buckets = -(-n // rules.LOAD)
-    held = [(i, rules.ngram_buckets(w, f, buckets)[0]) for i, w, f in pairs]
-    raw = np.bincount(np.concatenate([b for _, b in held]), minlength=buckets)
-    target = np.bincount(np.concatenate([b for i, b in held if i in trusted]), minlength=buckets)
-    ratio = rules.log_ratio(raw, target, n, target.sum(), buckets)
-    want = sorted(((i, round(ratio[b].mean() if len(b) else 0, 6)) for i, b in held), key=repr)
-    ids = spark.createDataFrame([(i,) for i in trusted], "id long")
-    for parts in ({}, {"slice_size": 100, "chunk_bytes": 3_000}):
-        got = rules.quality_rules(docs, ids, **parts).select("doc_id", "score").collect()
-        assert [(i, pytest.approx(s, abs=2e-6)) for i, s in want] == sorted(
-            ((i, round(s, 6)) for i, s in got), key=repr)
+def plain_scores(rows, trusted, buckets):
+    """Mean log ratio over the words and word pairs of each text, counted as tuples of strings."""
+    def grams(text):
+        words = brute.WORD.findall(text or "")
+        return [(w,) for w in words] + list(zip(words, words[1:]))
+
+    held = [(i, grams(t)) for i, t in rows]
+    raw = Counter(g for _, own in held for g in own)
+    target = Counter(g for i, own in held if i in trusted for g in own)
+    n_raw, n_target, half = sum(raw.values()), sum(target.values()), buckets / 2
+    out = []
+    for i, own in held:
+        me = i in trusted  # the n-gram being scored stands in its own counts
+        ratios = [math.log((target[g] - me + 0.5) / (n_target + half))
+                  - math.log((raw[g] - 1 + 0.5) / (n_raw + half)) for g in own]
+        out.append((i, sum(ratios) / len(ratios) if ratios else 0.0))
+    return out
 
 
-def test_rules_reject_junk_at_size(spark, folder):
+def test_scores_beside_counted_strings(spark, docs, corpus):
+    """With far more buckets than n-grams no two share one: hashing changes nothing."""
+    trusted, load = [1, 2, 4, 6, 8], 1e-4
+    n = sum(max(2 * len(brute.WORD.findall(t or "")) - 1, 0) for _, t in corpus)
+    want = sorted(plain_scores(corpus, set(trusted), math.ceil(n / load)), key=repr)
+    ids = spark.createDataFrame([(i,) for i in trusted], "id long")
+    for parts in ({}, {"slice_size": 10_000_000, "chunk_bytes": 3_000}):
+        got = rules.quality_rules(docs, ids, load=load, **parts).select("doc_id", "score").collect()
+        assert sorted(((r.doc_id, r.score) for r in got), key=repr) == [
+            (i, pytest.approx(x, abs=1e-8)) for i, x in want]
+
+
+def test_no_document_vouches_for_itself(spark):
+    """The same text scores alike whether its document is trusted or not, if nothing else is shared."""
+    rng = random.Random(13)
+    others = [(i, prose(rng, 60)) for i in range(40)]
+    lone = " ".join(f"only{k}here" for k in range(50))
+    scores = []
+    for trusted in (range(20), [*range(20), 99]):
+        ids = spark.createDataFrame([(i,) for i in trusted], "id long")
+        got = rules.quality_rules(frame(spark, others + [(99, lone)]), ids, load=1e-3)
+        scores.append(got.filter("doc_id = 99").first().score)
+    assert scores[0] == pytest.approx(scores[1], abs=0.1)
+
+
+def test_rules_on_documents_that_are_not_trusted(spark, folder):
+    """Only half of the good documents are trusted: the others are kept, junk goes."""
     docs = spark.read.parquet(f"{folder}/documents.parquet".replace("sf0.001", "sf0.1"))
     labels = spark.read.parquet(f"{folder}/labels.parquet".replace("sf0.001", "sf0.1"))
-    got = rules.query(docs, labels).join(labels, "doc_id").filter("n_words >= 10")
-    n = {r.quality: r for r in got.groupBy("quality").agg(
+    trusted = rules.trusted_ids(labels).filter("doc_id % 2 = 0")
+    got = rules.quality_rules(docs, trusted).join(labels, "doc_id").filter("n_words >= 10")
+    got = got.withColumn("trusted", (F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("doc_id") % 2 == 0))
+    n = {(r.quality, r.trusted): r for r in got.groupBy("quality", "trusted").agg(
         F.count("*").alias("n"), F.sum((F.col("score") < rules.THRESHOLD).cast("int")).alias("low")).collect()}
-    assert n[0].low >= 0.97 * n[0].n and n[1].low <= 0.003 * n[1].n
+    assert n[0, False].low >= 0.97 * n[0, False].n
+    assert n[1, False].low <= 0.003 * n[1, False].n and n[1, True].low <= 0.003 * n[1, True].n
 
 
 def test_quality_on_held_out_rows(spark, folder):
