@@ -39,10 +39,11 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    rest = F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("_one")).alias("_rest")
     judged = rules.quality_rules(
-        whole, rules.trusted_ids(read(spark, sf_dir, "labels")), carry=["row"])
-    return judged.filter("kept").select("row.*")
+        docs.select("doc_id", "text", rest), rules.trusted_ids(read(spark, sf_dir, "labels")),
+        carry=["_rest", "text"])
+    return judged.filter("kept").select("_rest.*", "text").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
