@@ -2,8 +2,9 @@
 
 Fixed patterns find credentials. A further generator takes long mixed tokens as candidates. All
 values are counted over the whole corpus by distinct repositories and distinct owners: a value that
-several owners hold is a copied example, one that few hold looks live. Candidates of the further
-generator become spans only if they look live; fixed findings stay and are marked either way.
+several owners hold is a copied example, and so is one that a single owner spreads over very many
+repositories; one that few repositories of one or two owners hold looks live. Candidates of the
+further generator become spans only if they look live; fixed findings stay and are marked either way.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .tables import stored
 
 KINDS = ["assign", "access", "hex"]
 OTHER = "mixed"
-#: A value that this many owners hold is a copied example.
-COPIED_OWNERS = 3
+#: A value that this many owners hold is a copied example, and so is one in so many repositories.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 50
 _WORDS = "password|passwd|secret|token|api_?key"
 PATTERNS = {
     "assign": "(?i:" + _WORDS + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -30,12 +31,14 @@ PATTERNS = {
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             repository_col: str = "doc_id", owner_col: str = "source",
-            copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """(doc_id, base, spans, n_live, n_copied), one row per input row.
+            copied_owners: int = COPIED_OWNERS,
+            copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """(doc_id, base, spans, held, n_live, n_copied), one row per input row.
 
     base: spans of the fixed patterns by start, then kind. spans: with those of the further
-    generator that do not overlap them and that look live. n_live and n_copied count spans (base or
-    further candidate) by the ownership of their value.
+    generator that do not overlap them and that look live. held: every span and further candidate by
+    start with the owners and repositories of its value and the verdict `copied`: owners reach
+    copied_owners, or repositories copied_repositories. n_live and n_copied count them.
 
     Null and empty texts hold nothing. A null repository or owner counts as one of its own. Null ids
     stay null; repeated rows hold the same repository and owner and so add nothing to the counts.
@@ -62,14 +65,19 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
               .groupBy("digest").agg(F.count("*").alias("owners"),
                                      F.sum("repositories").alias("repositories")))
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
     judged = (held.join(owners, "digest").groupBy("uid").agg(F.collect_list(F.struct(
-        "s", (F.col("owners") >= copied_owners).alias("copied"))).alias("all")))
+        "s", "owners", "repositories", copied.alias("copied"))).alias("all")))
     live = F.filter("all", lambda x: ~x["copied"])
     extra = F.transform(F.filter(live, lambda x: x["s"]["kind"] == OTHER), lambda x: x["s"])
     none = F.array().cast("array<struct<s:struct<kind:string,start:int,end:int,value:string>,"
-                          "copied:boolean>>")
+                          "owners:bigint,repositories:bigint,copied:boolean>>")
+    flat = F.transform("all", lambda x: F.struct(
+        x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["kind"].alias("kind"),
+        x["owners"].alias("owners"), x["repositories"].alias("repositories"), x["copied"].alias("copied")))
     return (table.join(judged, "uid", "left").withColumn("all", F.coalesce("all", none))
             .select("doc_id", "base", by_start(F.concat("base", extra), [*KINDS, OTHER]).alias("spans"),
+                    F.array_sort(flat).alias("held"),
                     F.size(live).cast("long").alias("n_live"),
                     (F.size("all") - F.size(live)).cast("long").alias("n_copied")))
 
