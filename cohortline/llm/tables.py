@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; only where it is unset, as in tests, one of our own."""
+    """The folder spark.checkpoint.dir names; one of our own only where it is unset and all tasks run in
+    the driver's process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="llm-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
