@@ -9,10 +9,18 @@ from cohortline.constants import FINAL_SEMESTER, PASSING_GRADE
 from cohortline.functions.academic import band
 from cohortline.functions.names import require, safe_name
 
+#: Categories that one frame can have columns for.
+MOST_COLUMNS = 1_000
+
 
 def category_list(history: DataFrame, column: str = "categoria_materia") -> list[str]:
-    """Distinct categories, sorted, to make columns of; for very many use ``category_snapshots``."""
-    found = history.select(column).distinct().filter(F.col(column).isNotNull()).collect()
+    """Distinct categories, sorted, to make columns of.
+
+    More than ``MOST_COLUMNS`` are an error: ``category_snapshots`` keeps any number of them as rows.
+    """
+    found = history.select(column).distinct().filter(F.col(column).isNotNull()).limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} categories do not make columns; use category_snapshots")
     return sorted(r[0] for r in found)
 
 

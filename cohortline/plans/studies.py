@@ -70,7 +70,7 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
         "missing": profile.missingness(df),
         "co_missing": profile.co_missing(df),
         "duplicates": profile.duplicates(df),
-        "head": sampling.preview(df),
+        "head": sampling.preview(df, *[F.col(f"`{c}`") for c in df.columns]),
     }
 
 

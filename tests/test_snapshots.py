@@ -163,3 +163,10 @@ def test_result_does_not_depend_on_partitioning(merged):
         HASH, "semestre_actual", F.round("promedio_calificacion_final", 9),
         F.round("std_calificacion_final", 9), "categoria_asistencia")
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_too_many_categories_are_an_error(spark):
+    rows = spark.range(snapshots.MOST_COLUMNS + 1).selectExpr("cast(id as string) as categoria_materia")
+    assert len(snapshots.category_list(rows.limit(snapshots.MOST_COLUMNS))) == snapshots.MOST_COLUMNS
+    with pytest.raises(ValueError, match="category_snapshots"):
+        snapshots.category_list(rows)

@@ -446,6 +446,13 @@ def profile_co_missing(spark, folder):
     return rounded(profile.co_missing(labelled(spark, folder)))
 
 
+@query
+def profile_head(spark, folder):
+    """First rows in the order of all columns."""
+    rows = labelled(spark, folder)
+    return rounded(sampling.preview(rows, *[F.col(f"`{c}`") for c in rows.columns]))
+
+
 @query
 def profile_duplicates(spark, folder):
     rows = enriched(spark, folder).select("id_carrera", "semestre", "id_materia", "pf")
@@ -486,7 +493,8 @@ def profile_study(spark, folder):
     path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
     studies.profile_study(views.history(spark, folder), path)
     written = {name: tables.read_parquet(spark, f"{path}/{name}")
-               for name in ("overview", "numeric", "text", "missing", "histograms")}
+               for name in ("overview", "numeric", "text", "missing", "histograms", "top_values",
+                            "extremes", "correlations", "co_missing", "duplicates", "head")}
     return together(
         *[figures("overview", written["overview"], F.lit(c), F.col(c))
           for c in ("n_rows", "n_columns", "n_missing_cells", "n_duplicate_rows")],
@@ -494,7 +502,15 @@ def profile_study(spark, folder):
         figures("distinct", written["text"], F.col("column"), F.col("n_distinct")),
         figures("missing", written["missing"], F.col("column"), F.col("n_missing")),
         figures("histograms", written["histograms"],
-                F.concat_ws("/", "column", F.col("bin").cast("string")), F.col("n")))
+                F.concat_ws("/", "column", F.col("bin").cast("string")), F.col("n")),
+        figures("top", written["top_values"], F.concat_ws("/", "column", "value"), F.col("n")),
+        figures("extremes", written["extremes"],
+                F.concat_ws("/", "column", "side", F.col("rank").cast("string")), F.col("n")),
+        figures("correlations", written["correlations"].filter("variable_1 <> 'id_carrera' and variable_2 <> 'id_carrera'"),
+                F.concat_ws("/", "variable_1", "variable_2"), F.col("correlation")),
+        figures("co_missing", written["co_missing"], F.concat_ws("/", "column_1", "column_2"), F.col("n_both")),
+        figures("duplicates", written["duplicates"].agg(F.count("*").alias("n")), F.lit("rows"), F.col("n")),
+        figures("head", written["head"], F.concat_ws("/", "id_grupo", "id_materia"), F.col("pf")))
 
 
 @query
@@ -506,7 +522,17 @@ def snapshot_study(spark, folder):
         figures("correlation", study["target_correlation"], F.col("variable"), F.col("correlation")),
         figures("chi_square", study["chi_square_attendance"], F.lit("chi2"), F.col("chi2")),
         figures("retention", study["retention_rate"],
-                F.concat_ws("/", BAND, F.col(OUTCOME).cast("string")), F.col("percent")))
+                F.concat_ws("/", BAND, F.col(OUTCOME).cast("string")), F.col("percent")),
+        figures("histogram", study["grade_histogram"], F.concat_ws("/", "id_carrera", "bin"), F.col("n")),
+        figures("kde", study["grade_kde"], F.concat_ws("/", "id_carrera", "point"), F.col("density")),
+        figures("band_low", study["trend_band"], F.concat_ws("/", "id_carrera", "point"), F.col("low")),
+        figures("band_high", study["trend_band"], F.concat_ws("/", "id_carrera", "point"), F.col("high")),
+        figures("matrix", study["correlation_matrix"], F.concat_ws("/", "variable_1", "variable_2"),
+                F.col("correlation")),
+        *[figures(f"anova_{name}", study[f"anova_{name}"], F.lit("log F"), F.log10("f_stat"))
+          for name in ("grade", "attendance")],
+        *[figures("box_grade", study["box_grade"], F.concat_ws("/", F.col(OUTCOME).cast("string"), F.lit(c)), F.col(c))
+          for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "n", "n_outliers")])
 
 
 @query
@@ -518,6 +544,9 @@ def category_study(spark, folder):
         F.sum(c).alias(c) for c in study["snapshots"].columns if c.startswith("materias_reprobadas_")])
     return together(
         figures("power", study["predictive_power"], F.col("variable"), F.col("correlation")),
+        figures("kde", study["kde"], F.concat_ws("/", OUTCOME, "point"), F.col("density")),
+        *[figures("box", study["backlog_box"], F.concat_ws("/", "categoria_rezago", F.col(OUTCOME).cast("string"), F.lit(c)),
+                  F.col(c)) for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "n")],
         *[figures("failed", failed, F.lit(c), F.col(c)) for c in failed.columns])
 
 
