@@ -321,6 +321,32 @@ def test_extremes_count_over_tasks(spark):
     assert ("b", "low", 3) not in got and got["b", "high", 1][0] == 2
 
 
+@pytest.mark.parametrize("most", [3, 8, 1_000])
+def test_top_values_from_few_counters(spark, most):
+    rng = random.Random(most)
+    heavy = ["a"] * 900 + ["b"] * 700 + ["c"] * 700 + ["d"] * 500 + [f"v{i}" for i in range(800)]
+    rows = [(rng.choice(heavy), f"u{rng.randrange(2_000)}", rng.choice([True, False, None]), None) for _ in range(6_000)]
+    df = spark.createDataFrame(rows, "h string, f string, b boolean, e string").repartition(5)
+    got = {}
+    for r in profile.top_text_values(df, 3, most).collect():
+        got.setdefault(r["column"], {})[r["rank"]] = (r["value"], r["n"])
+    for at, name in ((0, "h"), (1, "f"), (2, "b")):
+        counts = Counter(str(r[at]).lower() if at == 2 else r[at] for r in rows if r[at] is not None)
+        want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [got[name][k] for k in sorted(got[name])] == want
+    assert "e" not in got
+
+
+def test_distinct_sketches_add_up(spark):
+    rows = [(i % 7, f"w{i % 5_000}", i % 3, None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "g int, w string, x int, e string")
+    sketches = profile.distinct_sketches(df, "g")
+    assert sketches.count() == 21
+    got = {r["column"]: r for r in profile.distinct_estimates(sketches).collect()}
+    assert got["w"]["low"] <= 5_000 <= got["w"]["high"] < 5_600 and got["w"]["n_rows"] == 20_000
+    assert got["x"]["n_distinct"] == 3 and got["e"]["n_distinct"] == 0
+
+
 def test_duplicate_rows_and_overview(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, 1, "x"), (1, 2, None), (None, None, None), (None, None, None)]
     df = spark.createDataFrame(rows * 2 + [(9, 9, "y")], "a int, b int, c string")

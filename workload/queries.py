@@ -425,6 +425,18 @@ def profile_top_values(spark, folder):
     return profile.top_text_values(labelled(spark, folder))
 
 
+@query
+def profile_distinct_estimates(spark, folder):
+    """Distinct values of every column, from sketches per semester added up, beside the exact number."""
+    rows = cut(enriched(spark, folder))
+    estimates = profile.distinct_estimates(profile.distinct_sketches(rows, "semestre"))
+    exact = rows.unpivot([], [F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns if c != "semestre"],
+                         "column", "value").groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy(
+        "column").agg(F.count("value").alias("exact"))
+    return estimates.join(exact, "column").select(
+        "column", "n_rows", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
 @query
 def profile_extremes(spark, folder):
     return rounded(profile.extremes(labelled(spark, folder)))
