@@ -33,8 +33,11 @@ GENERATIONS = 8
 ELITE = 1
 #: Where pooling alone no longer helps, shards may grow to this many times their size.
 GROWTH = 8
-#: Bins filled less than this are dissolved and packed again with those of other shards.
-WELL_FILLED = 0.995
+#: Space that closed bins may waste, against all lengths, where the last sequence has less of it to spare.
+#: Bins that would waste more are dissolved and packed again with those of other shards.
+WASTE = 0.0002
+#: Times the generations that the last shard gets, as all other bins are closed by then.
+LAST = 12
 
 
 class Bins:
@@ -87,8 +90,9 @@ def mutate(a: Bins, rng: random.Random) -> Bins:
                 [list(g) for k, g in enumerate(a.bins) if k not in worst]).best_fit(loose)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[list[int]]]) -> list[Bins]:
-    """One epoch of an island; the best first."""
+def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[list[int]]],
+           generations: int = GENERATIONS) -> list[Bins]:
+    """One epoch of an island; the best first. Ends early once no packing can have fewer bins."""
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -98,7 +102,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[list[in
         people.append(Bins(sizes, capacity).best_fit(
             sorted(order, key=lambda i: -sizes[i] * rng.uniform(loose, 1))))
     people.sort(key=Bins.fitness, reverse=True)
-    for _ in range(GENERATIONS):
+    for _ in range(generations):
         if len(people[0].bins) <= least:
             break
         a, b = rng.sample(people, 2)
@@ -110,13 +114,13 @@ def evolve(sizes: list[int], capacity: int, seed: int, guests: list[list[list[in
     return people
 
 
-def _epoch(capacity: int):
+def _epoch(capacity: int, generations: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for seed, sizes, guests in zip(frame["seed"], frame["sizes"], frame["guests"]):
                 sizes = [int(s) for s in sizes]
-                found = evolve(sizes, capacity, int(seed), [_groups(g) for g in guests])[:ELITE]
+                found = evolve(sizes, capacity, int(seed), [_groups(g) for g in guests], generations)[:ELITE]
                 out.append(([_labels(f.bins, len(sizes)) for f in found], found[0].fitness()))
             yield pd.DataFrame({"shard": frame["shard"], "island": frame["island"],
                                 "elite": [e for e, _ in out], "fitness": [f for _, f in out]})
@@ -150,16 +154,17 @@ def _pack_level(pieces: DataFrame, shards: int, capacity: int, tasks: int) -> Da
     schema = "shard long, island int, elite array<array<int>>, fitness double"
     seed = (F.col("shard") * ISLANDS + F.col("island")).alias("seed")
     none = F.array().cast("array<array<int>>").alias("guests")
+    generations = GENERATIONS * (LAST if shards == 1 else 1)
     # dealt to tasks by number, as shards cost about the same
     first = stored(
         islands.select("shard", "island", seed, "sizes", none).repartition(tasks, "shard", "island")
-        .mapInPandas(_epoch(capacity), schema), "epoch")
+        .mapInPandas(_epoch(capacity, generations), schema), "epoch")
     moved = first.select(
         "shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("visitors"))
     second = (islands.join(first, ["shard", "island"]).join(moved, ["shard", "island"])
               .select("shard", "island", (seed + 1_000_003).alias("seed"), "sizes",
                       F.concat("elite", "visitors").alias("guests"))
-              .mapInPandas(_epoch(capacity), schema))
+              .mapInPandas(_epoch(capacity, generations), schema))
     best = second.groupBy("shard").agg(F.max_by(
         F.get("elite", F.lit(0)), F.struct("fitness", "island")).alias("bins"))
     placed = problems.join(best, "shard").select(
@@ -187,6 +192,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         "uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     most = shard * GROWTH
     done, rest, level = [full], pieces.filter(F.col("length") < capacity), 0
+    total = rest.agg(F.sum("length")).first()[0] or 0
+    # the last sequence's spare space costs no sequence if other bins waste it
+    budget = max(int(0.9 * (-total % capacity)), int(WASTE * total))
     while True:
         n = rest.count()
         shards = max(-(-n // shard), 1)
@@ -196,7 +204,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
         if shards == 1:
             done.append(named.select("uid", "sequence_id", "offset"))
             break
-        good = F.col("fill") >= WELL_FILLED * capacity
+        # bins by their free space, at most one row for each; the fullest are closed within the budget
+        bins = placed.filter("offset = 0").groupBy((capacity - F.col("fill")).alias("free")).agg(
+            F.count("*").alias("n")).orderBy("free").collect()
+        least = -1
+        for row in bins:
+            if row["free"] * row["n"] > budget:
+                break
+            budget -= row["free"] * row["n"]
+            least = row["free"]
+        good = F.col("fill") >= capacity - least
         done.append(named.filter(good).select("uid", "sequence_id", "offset"))
         rest, level = placed.filter(~good).select("uid", "length"), level + 1
         if rest.count() > 0.9 * n:  # pooling alone no longer helps
