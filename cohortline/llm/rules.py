@@ -38,6 +38,8 @@ LOAD = 8
 SLICE = 1 << 19
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 4_000_000
+#: Effort of compressing the texts of a chunk, which are most of what is shuffled.
+LEVEL = 5
 #: Weight of the uniform prior, in counts per bucket.
 PRIOR = 0.5
 #: Scores below this are rejected.
@@ -122,7 +124,7 @@ def _chunks(chunk_bytes: int):
         for key, held in _dealt(batches, chunk_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema,
-                                   options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                                   options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                 for batch in held:
                     out.write_batch(batch)
             yield pa.RecordBatch.from_arrays(
