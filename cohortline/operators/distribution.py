@@ -200,7 +200,7 @@ def box_summary(df: DataFrame, value: str, groups: list[str], whisker: float = 1
     """
     require(df, value, *groups)
     rows = cut(known_values(df, groups, value))
-    boxes = small(quantiles(rows, groups, "x", [0.25, 0.5, 0.75]).select(
+    boxes = small(quantiles(rows, groups, "x", [0.25, 0.5, 0.75], stored=True).select(
         *groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
         F.col("q")[2].alias("q3")))
     reach = whisker * (F.col("q3") - F.col("q1"))

@@ -106,7 +106,7 @@ def numeric_summary(df: DataFrame) -> DataFrame:
             F.count("*").alias("_distinct"), F.count_if(F.col("n") == 1).alias("_unique"))
         middle = {r["_column"]: r["q"][2] for r in found.select("_column", "q").collect()}
         deviations = rows.select(*[F.abs(F.col(f"`{c}`") - F.lit(middle[c])).alias(c) for c in many])
-        mads = describe(deviations, [], many, [0.5]).select("_column", F.col("q")[0].alias("_mad"))
+        mads = describe(deviations, [], many, [0.5], stored=True).select("_column", F.col("q")[0].alias("_mad"))
         found = found.join(counted, "_column", "left").join(mads, "_column", "left").withColumns({
             "n_distinct": F.coalesce("n_distinct", "_distinct"),
             "n_unique": F.coalesce("n_unique", "_unique"), "mad": F.coalesce("mad", "_mad")})

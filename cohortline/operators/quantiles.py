@@ -265,8 +265,11 @@ def _inside(df: DataFrame, groups: list[str], columns: list[str], found: DataFra
 
 
 def described(df: DataFrame, groups: list[str], columns: list[str], probabilities: list[float],
-              ) -> tuple[DataFrame, list[str], DataFrame | None]:
-    """The frame of `describe`, the columns with open brackets, and their rows, stored."""
+              stored: bool = False) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """The frame of `describe`, the columns with open brackets, and their rows.
+
+    These rows are stored before they are read again, unless df comes from storage itself.
+    """
     rows = df.select(*groups, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     head = B.key_schema(df, groups)
     names = [*groups, "_column"]
@@ -276,12 +279,14 @@ def described(df: DataFrame, groups: list[str], columns: list[str], probabilitie
     found = cut(parts.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(
         _settle(groups, probabilities), head + ", ".join(f"{k} {s}" for k, _, s in _FOUND)))
     # at most one name per column of df
-    open_ = sorted(r[0] for r in found.filter(F.size("open") > 0).select("_column").distinct().collect())
+    unsettled = found.filter(F.size("open") > 0).select("_column")
+    open_ = sorted(r[0] for r in (unsettled.distinct() if groups else unsettled).collect())
     again = None
     if not open_:
         whole = found.withColumn("_known", F.lit(None).cast("map<bigint,double>"))
     else:
-        again = cut(rows.select(*groups, *[F.col(f"`{c}`") for c in open_]))
+        again = rows.select(*groups, *[F.col(f"`{c}`") for c in open_])
+        again = again if stored else cut(again)
         settled = _inside(again, groups, open_, found).groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("rank", "kept"))).alias("_known"))
         settled = settled.withColumnsRenamed({k: f"_s{i}" for i, k in enumerate(names)})
@@ -299,17 +304,18 @@ def described(df: DataFrame, groups: list[str], columns: list[str], probabilitie
 
 
 def describe(df: DataFrame, groups: list[str], columns: list[str],
-             probabilities: list[float]) -> DataFrame:
+             probabilities: list[float], stored: bool = False) -> DataFrame:
     """(groups, _column, STATISTICS, q) for every group and numeric column, NaN counting as null.
 
     q: linearly interpolated quantiles, exact; null without known values. n_distinct, n_unique and mad
     (median absolute deviation) are null where a column has more than POINTS distinct values in a
     group. df is read once, and once more in its columns with open brackets.
     """
-    return described(df, groups, columns, probabilities)[0]
+    return described(df, groups, columns, probabilities, stored)[0]
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float],
+              stored: bool = False) -> DataFrame:
     """(groups, q): linearly interpolated quantiles of the known values of each group, exact."""
-    return describe(df, groups, [value], probabilities).filter("n > 0").select(
+    return describe(df, groups, [value], probabilities, stored).filter("n > 0").select(
         *[F.col(f"`{g}`") for g in groups], "q")
