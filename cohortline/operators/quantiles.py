@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.operators import batches as B
-from cohortline.operators.bounded import cut
+from cohortline.operators.bounded import cut, small
 
 #: Points of a summary: the error of one merging is the number of values divided by this.
 POINTS = 4_096
@@ -241,12 +241,16 @@ def _same(names: list[str], prefix: str) -> Column:
 
 
 def _inside(df: DataFrame, groups: list[str], columns: list[str], found: DataFrame) -> DataFrame:
-    """(groups, _column, rank, value) of all ranks that lie in open brackets, from the rows inside."""
+    """(groups, _column, rank, value) of all ranks that lie in open brackets, from the rows inside.
+
+    The brackets go to the rows, as a column or group may own any share of them: what is shuffled are
+    counts of the distinct values inside, not the cells of a column.
+    """
     keys = [*groups, "_column"]
     cells = df.unpivot([F.col(f"`{g}`") for g in groups], [F.col(f"`{c}`") for c in columns], "_column", "_value")
-    wanted = found.filter(F.size("open") > 0).select(
+    wanted = small(found.filter(F.size("open") > 0).select(
         *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], "open",
-        F.array_distinct(F.concat("ranks.low_rank", "ranks.high_rank")).alias("wanted"))
+        F.array_distinct(F.concat("ranks.low_rank", "ranks.high_rank")).alias("wanted")))
     v = F.nanvl("_value", F.lit(None).cast("double"))
     passed = F.size(F.filter("open", lambda b: b["upto"] < F.col("_value")))
     bracket = F.get("open", passed)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.tails import _make_chi2_tail, _make_f_tail
 from cohortline.operators import correlation, distribution, inference, profile
-from cohortline.operators.quantiles import Summary, describe, quantiles
+from cohortline.operators.quantiles import Summary, _inside, describe, quantiles
 
 
 def test_constant_column_has_no_correlation(spark):
@@ -179,6 +179,24 @@ def test_quantiles_of_many_values(spark, kind):
     assert got[None] == [3.0] * 7 and "none" not in got
 
 
+def test_cells_of_a_column_stay_where_they_are(spark):
+    """The brackets go to the rows: no task gets all cells of a column, however small the other side is."""
+    df = spark.createDataFrame([(float(v),) for v in range(100)], "v double").repartition(3)
+    found = spark.createDataFrame(
+        [("v", [(None, 9.0), (40.0, 60.0)], [(0.5, 4, 5, None, None), (0.0, 50, 50, None, None)])],
+        "_column string, open array<struct<above:double,upto:double>>, "
+        "ranks array<struct<fraction:double,low_rank:bigint,high_rank:bigint,low:double,high:double>>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _inside(df, [], ["v"], found)
+        assert {r["rank"]: r["kept"] for r in got.collect()} == {4: 4.0, 5: 5.0, 50: 50.0}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("kind", DRAWS)
 def test_summary_brackets_every_rank(kind):
     rng = random.Random(kind)
