@@ -8,6 +8,7 @@ below are for BPE tokenizers whose words are runs of letters, of digits, or of o
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -15,11 +16,13 @@ import numpy as np
 
 from . import rolling
 
-#: Distinct chunks kept per worker: the first ones met, common words among them. Others are encoded
-#: each time; forgetting all at the bound made common words be encoded again and again.
-KEPT_CHUNKS = 300_000
-#: Longer chunks are encoded each time.
+#: Distinct chunks kept per worker and ids of them: the first ones met, common words among them. Others
+#: are encoded each time; forgetting all at the bound made common words be encoded again and again.
+KEPT_CHUNKS, KEPT_IDS = 2_000_000, 8_000_000
+#: Chunks with more ids are encoded each time.
 LONGEST_KEPT = 64
+#: Bytes of text whose chunks are told apart at a time.
+PIECE_BYTES = 1_000_000
 # bytes after a space that may open white space of another kind: no cut there
 _OPEN = np.zeros(256, bool)
 _OPEN[:33] = True
@@ -73,6 +76,8 @@ def cut_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 class ChunkEncoder:
     """Ids of the chunks of a batch; remembers what it has encoded.
 
+    What is kept is 64-bit hashes of chunks in order, and where their ids stand in one array: some 30
+    bytes a chunk, looked up for a whole piece at once.
     folds: the tokenizer lower-cases, so ASCII case is folded before chunks are told apart.
     """
 
@@ -87,22 +92,41 @@ class ChunkEncoder:
         self.folds = folds
         # a bare word goes to the library's model at once: nothing in it is normalised or split
         self.bare = re.compile(rb"[a-z]+" if folds else rb" ?[A-Za-z]+")
-        self.known: dict[bytes, bytes] = {}
+        self.keys, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size, self.flat, self.used = np.zeros(0, np.uint8), np.zeros(1_000, np.uint32), 0
 
-    def _encode(self, names: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(names)
+    def _encode(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all names in order, number of ids of each)."""
+        out: list[list[int]] = [[]] * len(names)
         rest = []
+        bare, tokenize = self.bare.fullmatch, self.model.tokenize
         for i, name in enumerate(names):
-            if self.bare.fullmatch(name):
-                tokens = self.model.tokenize(name.decode().replace(" ", "Ġ"))
-                out[i] = np.array([t.id for t in tokens], "<u4").tobytes()
+            if bare(name):
+                out[i] = [t.id for t in tokenize(name.decode().replace(" ", "Ġ"))]
             else:
                 rest.append(i)
         fresh = self.tokenizer.encode_batch_fast(
             [names[i].decode() for i in rest], add_special_tokens=False)
         for i, e in zip(rest, fresh):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+            out[i] = e.ids
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(size.sum())), size
+
+    def _keep(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Remember chunks, given by their hashes in order, as far as there is room."""
+        few = np.flatnonzero(size <= LONGEST_KEPT)[: max(KEPT_CHUNKS - len(self.keys), 0)]
+        few = few[: np.searchsorted(np.cumsum(size[few]), KEPT_IDS - self.used, side="right")]
+        if not len(few):
+            return
+        count = size[few]
+        at = np.searchsorted(self.keys, keys[few])
+        self.keys = np.insert(self.keys, at, keys[few])
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(count) - count)
+        self.size = np.insert(self.size, at, count)
+        before, self.used = self.used, self.used + int(count.sum())
+        if self.used > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(self.used, np.uint32))
+        self.flat[before: self.used] = ids[_places(begin[few], count)]
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each chunk)."""
@@ -112,24 +136,44 @@ class ChunkEncoder:
         if self.folds and b"<|" not in raw:  # folding must not turn text into a special token
             data = _LOWER[data]
             raw = data.tobytes()
-        _, where, which = np.unique(
-            rolling.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        names = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-        found = list(map(self.known.get, names))
-        new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            room = KEPT_CHUNKS - len(self.known)
-            for i, ids in zip(new, self._encode([names[i] for i in new])):
-                found[i] = ids
-                if room > 0 and len(names[i]) <= LONGEST_KEPT:
-                    room -= 1
-                    self.known[names[i]] = ids
-        sizes = np.array([len(f) for f in found]) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        count = sizes[which]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return flat[np.repeat(begin[which], count) + step], count
+        keys, where, which = _distinct(rolling.word_hashes(data, starts, ends))
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        held = at[known]
+        size[known] = self.size[held]
+        flat = self.flat[_places(self.begin[held], size[known])]
+        begin[known] = np.cumsum(size[known]) - size[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, own = self._encode([raw[a:b] for a, b in zip(
+                starts[where[new]].tolist(), ends[where[new]].tolist())])
+            first = np.cumsum(own) - own
+            begin[new], size[new] = first + len(flat), own
+            flat = np.append(flat, ids)
+            self._keep(keys[new], first, own, ids)
+        count = size[which]
+        return flat[_places(begin[which], count)], count
+
+
+def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every stretch, `count` of each, one after another."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, which of them each value is); any place will do, which
+    spares the stable sort of np.unique."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return ordered[first], order[first], which
 
 
 @functools.lru_cache(maxsize=2)

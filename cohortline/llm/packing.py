@@ -231,7 +231,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunks.encoder(path, folds=True)
         for batch in batches:
-            for row, end, data, bounds in rolling.text_pieces(batch.column("text")):
+            for row, end, data, bounds in rolling.text_pieces(batch.column("text"), chunks.PIECE_BYTES):
                 starts, ends, first = chunks.cut_words(data, bounds)
                 ids, count = encoder.ids(data, starts, ends)
                 edges = np.append(0, np.cumsum(count))[first]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm import leaks, packing, pii, quality, rules, secrets, tokens
+from cohortline.llm import chunks, leaks, packing, pii, quality, rules, secrets, tokens
 
 from . import brute
 from .conftest import frame, prose
@@ -32,6 +32,37 @@ def encoder(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+def test_a_distinct_chunk_is_encoded_once(monkeypatch):
+    """More distinct words than once were kept, and bounds that keep next to nothing: the same ids."""
+    known = chunks.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    encode, met = known._encode, []
+    monkeypatch.setattr(known, "_encode", lambda names: met.append(len(names)) or encode(names))
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    number = np.arange(310_000)
+    data = np.full((len(number), 5), 32, np.uint8)
+    for i in range(4):
+        data[:, i] = letters[number // 26**i % 26]
+    starts = number * 5
+    first = known.ids(data.ravel(), starts, starts + 4)
+    again = known.ids(data.ravel(), starts, starts + 4)
+    assert met == [len(number)]
+    assert all(np.array_equal(a, b) for a, b in zip(first, again))
+
+    tokenizer = encoder("word_bpe_49k.json")
+    text = "Ein außber Wort, ein WORT und 12345 !! aiçenré ein wort " + "abc" * 90
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = chunks.cut_words(data, np.array([0, len(data)]))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    for kept, ids, longest in [(2, 3, 64), (0, 0, 64), (10**6, 4, 64), (10**6, 10**6, 1)]:
+        for name, value in (("KEPT_CHUNKS", kept), ("KEPT_IDS", ids), ("LONGEST_KEPT", longest)):
+            monkeypatch.setattr(chunks, name, value)
+        small = chunks.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), True)
+        for _ in range(3):
+            got, count = small.ids(data, starts, ends)
+            assert got.tolist() == want and count.sum() == len(want)
+        assert len(small.keys) <= kept and small.used <= ids
+
+
 def test_token_counts_and_cache(spark, corpus, tmp_path):
     rows = corpus + [(1000 + i, t) for i, t in enumerate(odd_texts())]
     docs, cache = frame(spark, rows), str(tmp_path / "cache")
