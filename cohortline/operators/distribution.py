@@ -77,13 +77,15 @@ def histogram(df: DataFrame, value: str, group: str, bins: int = 20) -> DataFram
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def column_histograms(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
+def column_histograms(df: DataFrame, columns: list[str], bins: int = 20, stored: bool = False) -> DataFrame:
     """(column, bin, low, high, n) of each numeric column, bins as in `histogram`.
 
     Ranges come from one pass of minima and maxima; in the second every task adds its rows to one
-    array of counts per column, which Spark sums. A column without known values has no bins.
+    array of counts per column, which Spark sums. A column without known values has no bins. The
+    columns are stored between the passes, unless df comes from storage itself.
     """
-    rows = cut(df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in columns]))
+    rows = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in columns])
+    rows = rows if stored else cut(rows)
     ends = rows.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(columns)
                       for k, f in (("low", F.min), ("high", F.max))]).first()
     limits = {}

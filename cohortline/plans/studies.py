@@ -10,7 +10,7 @@ from cohortline.functions.names import numeric_columns
 from cohortline.operators import (
     correlation, counting, distribution, history, inference, profile, sampling, snapshots, taxonomy,
 )
-from cohortline.operators.bounded import cut
+from cohortline.operators.bounded import cut, in_passes, release, stored
 from cohortline.sources.tables import write_csv, write_tables
 
 
@@ -58,28 +58,34 @@ def profiles(raw: DataFrame) -> DataFrame:
 
 
 def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """All profile tables of one frame.  Pass a checkpointed or stored frame: each scans it."""
-    return {
-        "overview": profile.overview(df),
-        "numeric": profile.numeric_summary(df),
-        "text": profile.text_summary(df),
-        "top_values": profile.top_text_values(df),
-        "extremes": profile.extremes(df),
-        "histograms": distribution.column_histograms(df, numeric_columns(df)),
-        "correlations": correlation.correlation_matrix(df, numeric_columns(df)),
-        "missing": profile.missingness(df),
-        "co_missing": profile.co_missing(df),
-        "duplicates": profile.duplicates(df),
-        "head": sampling.preview(df, *[F.col(f"`{c}`") for c in df.columns]),
+    """All profile tables of one frame.  Pass a checkpointed or stored frame: each scans it, and none
+    keeps rows of its own.  The shuffles of a table go before the next one begins."""
+    steps = {
+        "overview": lambda: profile.overview(df, stored=True),
+        "numeric": lambda: profile.numeric_summary(df, stored=True),
+        "text": lambda: profile.text_summary(df),
+        "top_values": lambda: profile.top_text_values(df, stored=True),
+        "extremes": lambda: profile.extremes(df),
+        "histograms": lambda: distribution.column_histograms(df, numeric_columns(df), stored=True),
+        "correlations": lambda: correlation.correlation_matrix(df, numeric_columns(df)),
+        "missing": lambda: profile.missingness(df),
+        "co_missing": lambda: profile.co_missing(df),
+        "duplicates": lambda: profile.duplicates(df, stored=True),
+        "head": lambda: sampling.preview(df, *[F.col(f"`{c}`") for c in df.columns]),
     }
+    tables = {}
+    for name, step in steps.items():
+        tables[name] = step()
+        release(df.sparkSession)
+    return tables
 
 
 def profile_study(raw: DataFrame, folder: str,
                   sample_size: int | None = None) -> dict[str, DataFrame]:
     """Clean, enrich, label, profile the whole table, or a sample where a size is given."""
-    labelled = cut(labelled_history(raw))
+    labelled = in_passes(raw, academic.entity_text("matricula", "id_carrera"), labelled_history)
     if sample_size is not None:
-        labelled = cut(sampling.sample_exact(
+        labelled = stored(sampling.sample_exact(
             labelled, sample_size, ["alumno_carrera_hash", "id_grupo", "id_materia"]))
     tables = profile_tables(labelled)
     write_tables(tables, folder)

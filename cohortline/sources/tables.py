@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructType
 
 from cohortline.constants import CSV_MISSING, PERIODS
 from cohortline.functions.names import require
+from cohortline.operators.bounded import release
 from cohortline.operators.history import grade_history
 from cohortline.schemas import SUBJECT_CATEGORIES, SUBJECTS
 
@@ -87,9 +88,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as parquet in its own subfolder."""
+    """Each table as parquet in its own subfolder; the shuffles of one go before the next is written."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        release(df.sparkSession)
 
 
 def period_dimension(spark: SparkSession, calendar=PERIODS) -> DataFrame:
