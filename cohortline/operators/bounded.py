@@ -46,7 +46,7 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows as compressed columns in the shared folder; a later pass reads the columns it needs."""
     spark, path = df.sparkSession, _new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)

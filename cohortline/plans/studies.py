@@ -10,7 +10,7 @@ from cohortline.functions.names import numeric_columns
 from cohortline.operators import (
     correlation, counting, distribution, history, inference, profile, sampling, snapshots, taxonomy,
 )
-from cohortline.operators.bounded import cut, in_passes, release, stored
+from cohortline.operators.bounded import cut, in_passes, release, written
 from cohortline.sources.tables import write_csv, write_tables
 
 
@@ -85,7 +85,7 @@ def profile_study(raw: DataFrame, folder: str,
     """Clean, enrich, label, profile the whole table, or a sample where a size is given."""
     labelled = in_passes(raw, academic.entity_text("matricula", "id_carrera"), labelled_history)
     if sample_size is not None:
-        labelled = stored(sampling.sample_exact(
+        labelled = written(sampling.sample_exact(
             labelled, sample_size, ["alumno_carrera_hash", "id_grupo", "id_materia"]))
     tables = profile_tables(labelled)
     write_tables(tables, folder)
